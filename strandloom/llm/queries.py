@@ -6,13 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, langid, quality, secrets
+from . import decontaminate, exactdedup, langid, licenses, quality, secrets, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
     "op2_langid": langid.op2_langid,
     "op3_quality": quality.op3_quality,
+    "op4_exact_dedup": exactdedup.op4_exact_dedup,
+    "op5_sharding": sharding.op5_sharding,
     "op8_secrets": secrets.op8_secrets,
+    "op10_licenses": licenses.op10_licenses,
 }
 
-SQL: dict[str, str] = {**decontaminate.SQL}
+SQL: dict[str, str] = {**decontaminate.SQL, **exactdedup.SQL, **licenses.SQL}
