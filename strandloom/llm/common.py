@@ -84,12 +84,12 @@ def append_columns(
 
     ``make`` runs once in each task and returns the function that turns a slice
     of at most ``SLICE_BYTES`` of text into one array for each of ``fields``.
+    A new column replaces a kept one of its name, as ``withColumn`` does.
     Narrow: one row out for each row in, no shuffle, memory bounded by a slice.
     """
     small_batches(df.sparkSession)
+    keep = [k for k in keep if k not in {f.name for f in fields}]
     names = [*keep, *(f.name for f in fields)]
-    if len(set(names)) != len(names):
-        raise ValueError(f"new columns clash with kept ones: {names}")
     kinds = [f.dataType for f in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,7 +128,7 @@ def salts(spark: SparkSession) -> int:
     return max(16, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
-def attach_group(df: DataFrame, key: Sequence[str], spread: Sequence[str], aggs: dict[str, tuple[str, str]]) -> DataFrame:
+def attach_group(df: DataFrame, key: Sequence[str], spread: Sequence[str], aggs: dict[str, tuple[str, str]], then: Callable[[DataFrame], DataFrame] = lambda whole: whole) -> DataFrame:
     """Add to each row what an aggregate says of all rows with its ``key``.
 
     ``aggs`` maps a new column to (max|min|sum, column). The join is on the key
@@ -141,5 +141,5 @@ def attach_group(df: DataFrame, key: Sequence[str], spread: Sequence[str], aggs:
     salted = df.withColumn("__salt", F.pmod(F.xxhash64(*(F.col(f"`{c}`") for c in spread)), F.lit(n)).cast("int"))
     some = salted.groupBy(*key, "__salt").agg(*(how[f](f"`{c}`").alias(f"__p_{out}") for out, (f, c) in aggs.items()))
     whole = some.groupBy(*key).agg(*(how[f](f"__p_{out}").alias(out) for out, (f, _) in aggs.items()))
-    told = some.select(*key, "__salt").join(whole, list(key))
+    told = some.select(*key, "__salt").join(then(whole), list(key))
     return salted.join(told, [*key, "__salt"]).drop("__salt")

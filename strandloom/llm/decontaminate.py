@@ -217,38 +217,43 @@ def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-FIELDS = [
-    T.StructField("n_words", T.LongType()),
-    T.StructField("hit_spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))),
-    T.StructField("hit_items", T.ArrayType(T.StringType())),
-]
+SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
+NEW = {"n_words": T.LongType(), "hit_spans": SPANS, "hit_items": T.ArrayType(T.StringType())}
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, keep: list[str] | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, keep: list[str] | None = None, prefix: str = "", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Each row of ``docs`` with the spans of its words that stand in an item's window.
 
     Adds n_words, hit_spans (merged, word positions, end exclusive) and hit_items
-    (item ids as strings, distinct, unordered). ``keep`` names the columns to keep (all).
+    (item ids as strings, distinct, unordered), each name after ``prefix``. ``keep``
+    names the columns to keep (all); a new column replaces one of its name.
 
     A null or wordless text has no words, spans or items. Items without id or
     words are left out; repeated items count once. An empty benchmark hits
     nothing. Repeated documents each get their row. Very long texts are whole.
     """
-    keep = list(docs.columns if keep is None else keep)
+    new = [f"{prefix}{n}" for n in NEW]
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in new]
     bench = benchmark.where(F.col(item).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item).cast("string").alias("i"), F.col(item_text).alias("t"))
     size = bench.agg(F.coalesce(F.sum(F.octet_length("t") + 16), F.lit(0))).first()[0]
     blocks = max(1, -(-int(size) // block_bytes))
+    found: list[tuple[str, str, str]] = []
     out = docs
     for k in range(blocks):
         part = bench.where(F.pmod(F.crc32(F.col("i").cast("binary")), F.lit(blocks)) == k)
-        phrases = Phrases([(r.i, r.t) for r in part.collect()], window)  # at most block_bytes
-        out = one_pass(out, text, phrases, keep if k == blocks - 1 else list(dict.fromkeys([*keep, text])), first=k == 0)
-    return out
-
-
-def one_pass(docs: DataFrame, text: str, phrases: Phrases, keep: list[str], first: bool) -> DataFrame:
-    names = [f.name for f in FIELDS]
-
+        phrases = Phrases([(r.i, r.t) for r in part.collect()], window)  # about block_bytes
+        names = [f"__leak{k}_{n}" for n in NEW]
+        held = list(dict.fromkeys([*keep, *(text for _ in range(k < blocks - 1)), *(n for own in found for n in own[1:])]))
+        out = one_pass(out, text, phrases, held, names)
+        found.append(tuple(names))
+    spans, items = F.col(found[0][1]), F.col(found[0][2])
+    if blocks > 1:
+        spans = F.udf(lambda *own: [{"start": b, "end": e} for b, e in merge([(r[0], r[1]) for o in own for r in o])], SPANS)(*(n[1] for n in found))
+        items = F.array_distinct(F.concat(*(n[2] for n in found)))
+    return out.select(*(F.col(f"`{c}`") for c in keep), F.col(found[-1][0]).alias(new[0]), spans.alias(new[1]), items.alias(new[2]))
+
+
+def one_pass(docs: DataFrame, text: str, phrases: Phrases, keep: list[str], names: list[str]) -> DataFrame:
     def make():
         def work(part: pa.RecordBatch) -> list:
             listed = [words(t) for t in texts(part, text)]
@@ -261,12 +266,8 @@ def one_pass(docs: DataFrame, text: str, phrases: Phrases, keep: list[str], firs
 
         return work
 
-    if first:
-        return append_columns(docs, text, FIELDS, make, keep)
-    was = [T.StructField(f"new_{f.name}", f.dataType) for f in FIELDS]
-    out = append_columns(docs, text, was, make, [*keep, *names[1:]])
-    spans = F.udf(lambda a, b: [{"start": x, "end": y} for x, y in merge([(r[0], r[1]) for r in (*a, *b)])], FIELDS[1].dataType)
-    return out.select(*keep, F.col("new_n_words").alias("n_words"), spans("hit_spans", "new_hit_spans").alias("hit_spans"), F.array_union("hit_items", "new_hit_items").alias("hit_items"))
+    fields = [T.StructField(n, kind) for n, kind in zip(names, NEW.values(), strict=True)]
+    return append_columns(docs, text, fields, make, keep)
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,9 +33,10 @@ def external_shuffle(rows: DataFrame, *, key: str = "doc_id", text: str = "text"
     ``key`` and the number of shards alone decide the shard (law ``key``);
     grown_shard is the shard with one shard more. Slots run from 0 without gaps
     in each shard. Null keys go to one shard together; null texts have no
-    bytes. Equal rows share a bucket, in which each has a slot of its own. Empty tables stay empty.
+    bytes. Equal rows share a bucket, in which each has a slot of its own. Empty tables stay empty. Columns of the
+    new names are replaced.
     """
-    rows = rows.withColumns({"shard": winner(F.col(key), shards, seed), "grown_shard": winner(F.col(key), shards + 1, seed)})
+    rows = rows.drop("slot").withColumns({"shard": winner(F.col(key), shards, seed), "grown_shard": winner(F.col(key), shards + 1, seed)})
     total = rows.agg(F.coalesce(F.sum(F.coalesce(F.octet_length(text), F.lit(0)) + 64), F.lit(0))).first()[0]
     per_shard = max(1, -(-int(total) // (bucket_bytes * shards)))
     number = F.pmod(F.xxhash64(F.lit(seed + 1), F.col(key), F.col(text)), F.lit(per_shard))
