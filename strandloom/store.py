@@ -9,19 +9,23 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """``df`` as a Parquet table below ``spark.checkpoint.dir``.
+def new_path(spark: SparkSession) -> str:
+    """A new path below ``spark.checkpoint.dir``.
 
     Only where the session names no such folder a temporary one is set.
     """
-    spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = f"file://{tempfile.mkdtemp(prefix='strandloom-')}"
         spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/strandloom-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/strandloom-{uuid.uuid4().hex}"
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder."""
+    path = new_path(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
