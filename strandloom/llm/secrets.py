@@ -32,7 +32,7 @@ CLASSES = (
     (re.compile(r"[0-9a-fA-F]{20,}"), 3.0),
     (re.compile(r"[A-Za-z0-9+/_=-]{20,}"), 3.9),
 )
-#: Runs that hold one of these are harmless: placeholders and shared formats.
+#: Runs that hold one of these are harmless, and so are runs within them.
 ALLOWED = re.compile(r"(?i)example|sample|placeholder|changeme|xxxx|0123456789|abcdefgh|lorem|localhost")
 #: Of the second class, a run without a digit, or of words joined by signs, is prose or a path.
 WORDY = re.compile(r"[A-Za-z]+(?:[-_/+=.][A-Za-z]+)*|(?:[A-Za-z]{2,}|[0-9]{1,4})(?:[-_/](?:[A-Za-z]{2,}|[0-9]{1,4}))+")
@@ -78,13 +78,17 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 def entropy_spans(text: str) -> list[tuple[int, int]]:
     if max(map(len, text.split()), default=0) < WINDOW:
         return []
-    spans = []
-    for number, (runs, limit) in enumerate(CLASSES):
-        for m in runs.finditer(text):
-            run = m.group()
-            if ALLOWED.search(run) or number and (WORDY.fullmatch(run) or not any(c.isdigit() for c in run)):
-                continue
-            spans += [(m.start() + b, m.start() + e) for b, e in dense_spans(run, limit)]
+    (hexes, hex_limit), (wide, wide_limit) = CLASSES
+    spans, harmless = [], []
+    for m in wide.finditer(text):
+        run = m.group()
+        if ALLOWED.search(run):
+            harmless.append(m.span())
+        elif any(c.isdigit() for c in run) and not WORDY.fullmatch(run):
+            spans += [(m.start() + b, m.start() + e) for b, e in dense_spans(run, wide_limit)]
+    for m in hexes.finditer(text):
+        if not any(b <= m.start() and m.end() <= e for b, e in harmless):
+            spans += [(m.start() + b, m.start() + e) for b, e in dense_spans(m.group(), hex_limit)]
     out: list[tuple[int, int]] = []
     for b, e in sorted(spans):
         if out and b < out[-1][1]:
