@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandloom import schemas
+from strandloom.store import settle
 
 FORMATS = {
     "kmer-map": schemas.KMER_MAP,
@@ -77,10 +78,9 @@ def with_row_id(table: DataFrame, order: list[str]) -> DataFrame:
     Numbers are the rows before each partition of a range sort plus the place in
     it, so no single task holds the table.
     """
-    from pyspark.sql import Window
-
     ranged = table.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id())
-    ranged = ranged.withColumn("__k", F.row_number().over(Window.partitionBy("__p").orderBy(*order)))
+    # Written once: another run of the range sort could cut elsewhere.
+    ranged = settle(ranged.withColumn("__k", F.row_number().over(Window.partitionBy("__p").orderBy(*order))))
     counts = ranged.groupBy("__p").count()
     before = counts.withColumn("__b", F.coalesce(F.sum("count").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("__p", "__b")
     return ranged.join(before, "__p").withColumn("id", (F.col("__b") + F.col("__k") - 1).cast("string")).drop("__p", "__k", "__b")
