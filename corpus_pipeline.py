@@ -3,7 +3,8 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 as Parquet and read again as the next stage's ``docs``. All but the last return
 the columns of ``docs``, whatever those are. Keys are unique; of rows that repeat
-a key one stays after the exact copies are removed.
+a key one stays after the exact copies are removed. A row without a key can't be
+named by a stage that compares documents, and stays.
 """
 
 from __future__ import annotations
@@ -56,10 +57,11 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def only(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose key is in ``kept``; one row of a repeated key."""
+    """The rows of ``docs`` whose key is in ``kept``, one row of a repeated key, and all rows without a key."""
     out = docs.join(kept.distinct(), "doc_id", "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
-    repeated = docs.groupBy("doc_id").count().where("count > 1")
-    return out if repeated.isEmpty() else out.dropDuplicates(["doc_id"])
+    repeated = docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1")
+    out = out if repeated.isEmpty() else out.dropDuplicates(["doc_id"])
+    return out.unionByName(docs.where("doc_id IS NULL"))
 
 
 STAGES = [

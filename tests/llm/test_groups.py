@@ -204,12 +204,12 @@ def test_pipeline(spark, tables):
     near = [(400 + k, clean[10 + k][1] + " " + prose(1)) for k in range(5)]
     leaks = [(500 + k, f"{prose(40)} {item} {prose(40)}") for k in range(4)]
     rows = [*clean, *junk, *copies, *near, *leaks, (600, clean[20][1])]
-    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in rows] + [(600, clean[20][1], "en", "s", 1)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in rows] + [(600, clean[20][1], "en", "s", 1), (None, prose(90), None, None, None)], "doc_id long, text string, lang string, source string, n_chars long")
     labels = spark.createDataFrame([(k, 1, 0) for k, _ in clean[:100]] + [(k, 0, 0) for k, _ in junk[:40]], "doc_id long, quality int, toxic int")
     sf = tables(documents=docs, labels=labels, benchmark=spark.createDataFrame([(1, item)], "item_id long, text string"))
     found = corpus_pipeline.run(spark, sf).collect()
     dropped = set(range(5)) | {20} | {400 + k for k in range(5)}
-    want = ({k for k, _ in clean} - dropped) | {300 + k for k in range(5)} | {600}
+    want = ({k for k, _ in clean} - dropped) | {300 + k for k in range(5)} | {600, None}
     assert {r.doc_id for r in found} == want
     assert len([1 for r in found if r.start == 0]) == len(want)
     empty = tables(documents=docs.limit(0), labels=labels.limit(0), benchmark=spark.createDataFrame([], "item_id long, text string"))
