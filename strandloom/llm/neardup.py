@@ -9,8 +9,9 @@ Links: in each band bucket every representative is first paired with the
 bucket's smallest one (a star: as many pairs as rows, however large the
 bucket), the pairs are verified on full sets, and components are formed. Only
 buckets that then still hold several components give further pairs, those
-between different components; these are verified too. A pair inside a component
-can't change the result, so no link that a band shows is lost.
+between different components that can meet the threshold by exact bounds; these
+are verified too. A pair inside a component can't change the result, so no link
+that a band shows is lost.
 
 Components: smallest-label propagation with pointer jumping over tables in the
 shared folder. Joins on a key that may be hot read both sides from such tables, so
@@ -34,6 +35,8 @@ from .common import Shelf, append_columns, attach_group, table, texts
 CIRCLE, SEED = 1 << 20, 9
 #: Rows and bands by threshold: a pair at the threshold is missed with a chance under 1e-6.
 BANDS = ((85, 5, 25), (0, 4, 32))
+#: A shingle is rare if so many of the documents in question have it at most.
+RARE = 8
 REMEMBERED = 400_000
 
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
@@ -194,11 +197,11 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     links = shelf.put(verified(stars, sets, percent), "links")
     label = components(links, shelf, "first")
 
-    more = shelf.put(further_pairs(members, label, percent), "further")
+    more = shelf.put(further_pairs(members, label, sets, percent, shelf), "further")
     found = shelf.put(verified(more, sets, percent), "further-links")
     if not found.isEmpty():
         label = components(links.union(found), shelf, "second")
-    for name in ("heads", "members", "stars", "sets", "further"):
+    for name in ("heads", "members", "stars", "sets", "further", "open", "able", "rare", "by-band"):
         shelf.drop(name)
 
     def reached(whole: DataFrame) -> DataFrame:
@@ -209,15 +212,36 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     return out.select(key, "n_shingles", "component_id")
 
 
-def further_pairs(members: DataFrame, label: DataFrame, percent: int) -> DataFrame:
-    """Pairs of one bucket but different components that no star has tested."""
+def further_pairs(members: DataFrame, label: DataFrame, sets: DataFrame, percent: int, shelf: Shelf) -> DataFrame:
+    """Pairs of one bucket but different components that no star has tested, and
+    that can meet the threshold.
+
+    Shingles that no other of these documents has can't be shared, which bounds
+    a pair's similarity; so does leaving out the rare ones, unless the pair has
+    a rare one in common. Pairs of a bucket are therefore needed only where the
+    frequent shingles alone reach the threshold; all others that could meet it
+    share a rare shingle and are found by that. Both are exact.
+    """
     labelled = members.join(label.withColumnRenamed("id", "x"), "x", "left").withColumn("label", F.coalesce("label", "x"))
     split = labelled.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("band")
-    open_ = labelled.join(split, "band", "left_semi").where("x <> hub").select("band", "x", "n", "label")
-    a, b = open_.alias("a"), open_.alias("b")
-    near = (F.col("a.band") == F.col("b.band")) & (F.col("a.x") < F.col("b.x")) & (F.col("a.label") != F.col("b.label"))
-    near &= (100 * F.col("a.n") >= percent * F.col("b.n")) & (100 * F.col("b.n") >= percent * F.col("a.n"))
-    return a.join(b, near).select(F.col("a.x").alias("x"), F.col("b.x").alias("y")).distinct()
+    rows = shelf.put(labelled.join(split, "band", "left_semi").where("x <> hub").select("band", "x", "n", "label"), "open")
+
+    own = rows.select("x", "n", "label").distinct()
+    grams = sets.join(own.select(F.col("x").alias("id")), "id", "left_semi").select(F.col("id").alias("x"), F.explode("shingles").alias("g"))
+    shared = grams.join(grams.groupBy("g").agg(F.count("*").alias("df")).where("df > 1"), "g")
+    counts = shared.groupBy("x").agg(F.count("*").alias("c"), F.sum((F.col("df") > RARE).cast("long")).alias("f"))
+    able = shelf.put(own.join(counts, "x").where(100 * F.col("c") >= percent * F.col("n")), "able")
+    rare = shelf.put(shared.where(F.col("df") <= RARE).select("g", "x").join(able, "x").select("g", "x", "n", "label", "c"), "rare")
+
+    def meet(table: DataFrame, key: str, held: str) -> DataFrame:
+        a, b = table.alias("a"), table.alias("b")
+        na, nb, most = F.col("a.n"), F.col("b.n"), F.least(f"a.{held}", f"b.{held}")
+        near = (F.col(f"a.{key}") == F.col(f"b.{key}")) & (F.col("a.x") < F.col("b.x")) & (F.col("a.label") != F.col("b.label"))
+        near &= (100 * na >= percent * nb) & (100 * nb >= percent * na) & (100 * most >= percent * (na + nb - most))
+        return a.join(b, near).select(F.col("a.x").alias("x"), F.col("b.x").alias("y"))
+
+    by_band = shelf.put(rows.select("band", "x").join(able.select("x", "n", "label", "f"), "x"), "by-band")
+    return meet(by_band, "band", "f").union(meet(rare, "g", "c")).distinct()
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
