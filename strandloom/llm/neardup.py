@@ -36,7 +36,7 @@ CIRCLE, SEED = 1 << 20, 9
 #: Rows and bands by threshold: a pair at the threshold is missed with a chance under 1e-6.
 BANDS = ((85, 5, 25), (0, 4, 32))
 #: A shingle is rare if so many of the documents in question have it at most.
-RARE = 8
+RARE = 32
 REMEMBERED = 400_000
 
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
@@ -140,7 +140,8 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     a = sets.select(F.col("id").alias("x"), F.col("shingles").alias("a"))
     b = sets.select(F.col("id").alias("y"), F.col("shingles").alias("b"))
     na, nb = F.size("a"), F.size("b")
-    both = pairs.join(a, "x").join(b, "y").where(100 * F.least(na, nb) >= percent * F.greatest(na, nb))
+    # Shuffled at every size, so that small inputs cost in proportion.
+    both = pairs.hint("merge").join(a, "x").hint("merge").join(b, "y").where(100 * F.least(na, nb) >= percent * F.greatest(na, nb))
     shared = F.size(F.array_intersect("a", "b"))
     return both.withColumn("__i", shared).where(100 * F.col("__i") >= percent * (na + nb - F.col("__i"))).select("x", "y")
 
@@ -193,7 +194,7 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
 
     stars = shelf.put(members.where("x <> hub").select("x", F.col("hub").alias("y")).distinct(), "stars")
     wanted = stars.select(F.col("x").alias(key)).union(stars.select("y")).distinct()
-    sets = shelf.put(shingle_sets(docs.join(wanted, key, "left_semi"), key, text, words).dropDuplicates(["id"]), "sets")
+    sets = shelf.put(shingle_sets(docs.join(wanted.hint("merge"), key, "left_semi"), key, text, words).dropDuplicates(["id"]), "sets")
     links = shelf.put(verified(stars, sets, percent), "links")
     label = components(links, shelf, "first")
 
