@@ -234,15 +234,19 @@ def further_pairs(members: DataFrame, label: DataFrame, sets: DataFrame, percent
     able = shelf.put(own.join(counts, "x").where(100 * F.col("c") >= percent * F.col("n")), "able")
     rare = shelf.put(shared.where(F.col("df") <= RARE).select("g", "x").join(able, "x").select("g", "x", "n", "label", "c"), "rare")
 
-    def meet(table: DataFrame, key: str, held: str) -> DataFrame:
+    def meet(table: DataFrame, key: str, held: str, once: bool = False) -> DataFrame:
         a, b = table.alias("a"), table.alias("b")
         na, nb, most = F.col("a.n"), F.col("b.n"), F.least(f"a.{held}", f"b.{held}")
         near = (F.col(f"a.{key}") == F.col(f"b.{key}")) & (F.col("a.x") < F.col("b.x")) & (F.col("a.label") != F.col("b.label"))
         near &= (100 * na >= percent * nb) & (100 * nb >= percent * na) & (100 * most >= percent * (na + nb - most))
+        if once:  # in the first bucket that the pair has in common
+            near &= F.get(F.array_intersect("a.bands", "b.bands"), F.lit(0)) == F.col("a.band")
         return a.join(b, near).select(F.col("a.x").alias("x"), F.col("b.x").alias("y"))
 
-    by_band = shelf.put(rows.select("band", "x").join(able.select("x", "n", "label", "f"), "x"), "by-band")
-    return meet(by_band, "band", "f").union(meet(rare, "g", "c")).distinct()
+    listed = rows.groupBy("x").agg(F.array_sort(F.collect_set("band")).alias("bands"))
+    listed = listed.join(able.select("x", "n", "label", "f"), "x").withColumn("band", F.explode("bands"))
+    by_band = shelf.put(listed, "by-band")
+    return meet(by_band, "band", "f", once=True).union(meet(rare, "g", "c")).distinct()
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
