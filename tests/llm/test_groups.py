@@ -112,6 +112,16 @@ def test_packing(frame):
     assert packing.pack(frame([]), PATH).isEmpty()
 
 
+def test_pieces_are_encoded_as_the_tokenizer_does():
+    rng = random.Random(6)
+    signs = "abcdeXYZ0189'éßñ漢字\U0001f600.,;:!?-_()<|>\"\n"
+    texts = [" ".join("".join(rng.choice(signs) for _ in range(rng.randrange(1, 9))) for _ in range(60)) for _ in range(200)]
+    texts += ["don't we'll it's 'tis", "a 's b", "x 123abc 4.5", "<|endoftext|> a <|endoftext|>", "naïve café Ünïcödé ǅ ʰ"]
+    encoder, plain = packing.Encoder(PATH), packing.load_tokenizer(PATH)
+    for t, ids in zip(texts, encoder.encode(texts)[0], strict=True):
+        assert ids.tolist() == plain.encode(t, add_special_tokens=False).ids, t
+
+
 def test_bm25_matches_the_formula():
     rng = np.random.default_rng(2)
     docs = [rng.integers(0, 60, rng.integers(1, 40)) for _ in range(30)]
