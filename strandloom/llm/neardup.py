@@ -21,11 +21,13 @@ adaptive execution can split them.
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,6 +39,8 @@ CIRCLE, SEED = 1 << 20, 9
 BANDS = ((85, 5, 25), (0, 4, 32))
 #: A shingle is rare if so many of the documents in question have it at most.
 RARE = 32
+#: Longs in a parity sketch of a set.
+SKETCH = 8
 REMEMBERED = 400_000
 
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
@@ -213,6 +217,13 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     return out.select(key, "n_shingles", "component_id")
 
 
+def parity(gram: str) -> Column:
+    """Aggregate: ``SKETCH`` longs; each bit says whether an odd number of the hashes fall on it."""
+    at = F.pmod(F.shiftright(gram, 6), F.lit(SKETCH))
+    bit = F.expr(f"shiftleft(1L, cast({gram} & 63 as int))")
+    return F.array(*(F.bit_xor(F.when(at == k, bit).otherwise(F.lit(0).cast("long"))) for k in range(SKETCH)))
+
+
 def further_pairs(members: DataFrame, label: DataFrame, sets: DataFrame, percent: int, shelf: Shelf) -> DataFrame:
     """Pairs of one bucket but different components that no star has tested, and
     that can meet the threshold.
@@ -221,7 +232,10 @@ def further_pairs(members: DataFrame, label: DataFrame, sets: DataFrame, percent
     a pair's similarity; so does leaving out the rare ones, unless the pair has
     a rare one in common. Pairs of a bucket are therefore needed only where the
     frequent shingles alone reach the threshold; all others that could meet it
-    share a rare shingle and are found by that. Both are exact.
+    share a rare shingle and are found by that. Pairs of a bucket must also
+    pass parity sketches: a bit that differs between two sketches stands for a
+    shingle at least that only one set has, and too many of those rule the
+    threshold out. All three are exact.
     """
     labelled = members.join(label.withColumnRenamed("id", "x"), "x", "left").withColumn("label", F.coalesce("label", "x"))
     split = labelled.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("band")
@@ -230,9 +244,9 @@ def further_pairs(members: DataFrame, label: DataFrame, sets: DataFrame, percent
     own = rows.select("x", "n", "label").distinct()
     grams = sets.join(own.select(F.col("x").alias("id")), "id", "left_semi").select(F.col("id").alias("x"), F.explode("shingles").alias("g"))
     shared = grams.join(grams.groupBy("g").agg(F.count("*").alias("df")).where("df > 1"), "g")
-    counts = shared.groupBy("x").agg(F.count("*").alias("c"), F.sum((F.col("df") > RARE).cast("long")).alias("f"))
+    counts = shared.groupBy("x").agg(F.count("*").alias("c"), F.sum((F.col("df") > RARE).cast("long")).alias("f"), parity("g").alias("sketch"))
     able = shelf.put(own.join(counts, "x").where(100 * F.col("c") >= percent * F.col("n")), "able")
-    rare = shelf.put(shared.where(F.col("df") <= RARE).select("g", "x").join(able, "x").select("g", "x", "n", "label", "c"), "rare")
+    rare = shelf.put(shared.where(F.col("df") <= RARE).select("g", "x").join(able.drop("sketch"), "x").select("g", "x", "n", "label", "c"), "rare")
 
     def meet(table: DataFrame, key: str, held: str, once: bool = False) -> DataFrame:
         a, b = table.alias("a"), table.alias("b")
@@ -240,11 +254,15 @@ def further_pairs(members: DataFrame, label: DataFrame, sets: DataFrame, percent
         near = (F.col(f"a.{key}") == F.col(f"b.{key}")) & (F.col("a.x") < F.col("b.x")) & (F.col("a.label") != F.col("b.label"))
         near &= (100 * na >= percent * nb) & (100 * nb >= percent * na) & (100 * most >= percent * (na + nb - most))
         if once:  # in the first bucket that the pair has in common
+            flips = reduce(add, (F.bit_count(F.col("a.sketch")[k].bitwiseXOR(F.col("b.sketch")[k])) for k in range(SKETCH)))
+            # Shingles of one set alone: those that no other set has, and those that the sketches show.
+            apart = na - F.col("a.c") + nb - F.col("b.c") + flips
+            near &= (100 + percent) * apart <= (100 - percent) * (na + nb)
             near &= F.get(F.array_intersect("a.bands", "b.bands"), F.lit(0)) == F.col("a.band")
         return a.join(b, near).select(F.col("a.x").alias("x"), F.col("b.x").alias("y"))
 
     listed = rows.groupBy("x").agg(F.array_sort(F.collect_set("band")).alias("bands"))
-    listed = listed.join(able.select("x", "n", "label", "f"), "x").withColumn("band", F.explode("bands"))
+    listed = listed.join(able.select("x", "n", "label", "c", "f", "sketch"), "x").withColumn("band", F.explode("bands"))
     by_band = shelf.put(listed, "by-band")
     return meet(by_band, "band", "f", once=True).union(meet(rare, "g", "c")).distinct()
 
