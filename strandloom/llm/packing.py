@@ -15,6 +15,7 @@ shard alone, as a sharded index does.
 from __future__ import annotations
 
 import functools
+import hashlib
 import zlib
 from collections.abc import Iterator
 
@@ -83,6 +84,7 @@ class Encoder:
         self.bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, k in vocabulary.items():
             self.bytes[k] = len(token)  # a byte-level token has a character for each byte
+        self.terms = Terms()
         self.forget()
 
     def forget(self) -> None:
@@ -109,7 +111,7 @@ class Encoder:
             self.starts = np.concatenate([self.starts, self.starts[-1] + last + 1])
 
     def encode(self, texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        """The ids of each text, and the numbers of its pieces (its terms)."""
+        """The ids of each text, and its terms."""
         if len(self.number) > REMEMBERED:
             self.forget()
         number = self.number
@@ -136,8 +138,23 @@ class Encoder:
         ids = [np.concatenate((f, joined[place[a] : place[b]])) for f, a, b in zip(first, ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
         for k in odd:
             ids[k] = self.direct([texts[k]])[0]
-            pieces[k] = np.array([number[w] for w in texts[k].split() if w in number], np.int64)
-        return ids, pieces
+        return ids, [self.terms.of(t) for t in texts]
+
+
+class Terms:
+    """A document's terms: 64-bit hashes of all its words, the same in every task
+    whatever it has read before. What is remembered saves time only."""
+
+    def __init__(self):
+        self.known: dict[str, int] = {}
+
+    def of(self, text: str) -> np.ndarray:
+        if len(self.known) > REMEMBERED:
+            self.known = {}
+        words, known = text.split(), self.known
+        for w in set(words).difference(known):
+            known[w] = int.from_bytes(hashlib.blake2b(w.encode(errors="surrogatepass"), digest_size=8).digest(), "little", signed=True)
+        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
 
 
 class Index:

@@ -144,6 +144,21 @@ def test_bm25_matches_the_formula():
         assert np.allclose(want[near], np.sort(want[want > 0])[::-1])
 
 
+def test_terms_are_all_words_of_a_text():
+    texts = ["own  words\there", "here own words", "漢字かな", "漢字かな", "first word", "", "x" * 300, "one\nline"]
+    encoder = packing.Encoder(PATH)
+    terms = encoder.encode(texts)[1]
+    for t, own in zip(texts, terms, strict=True):
+        assert len(own) == len(t.split())
+    assert sorted(terms[0]) == sorted(terms[1])
+    assert terms[2].tolist() == terms[3].tolist()
+    encoder.forget()
+    encoder.encode(["other texts, with words of their own"])
+    for t, own in zip(texts, terms, strict=True):  # whatever was read before
+        assert encoder.encode([t])[1][0].tolist() == own.tolist()
+    assert packing.Index([*terms, *(np.array([k]) for k in range(8))]).neighbours(0, np.arange(16) != 0).tolist()[0] == 1
+
+
 def test_neighbours_share_a_window():
     docs = [np.array([1, 2, 3, 4] * 5), np.array([7, 8, 9] * 5), np.array([7, 8, 9] * 4), np.array([1, 2, 3] * 5), np.array([20]), np.array([21]), np.array([22]), np.array([23])]
     first = packing.pack_shard([30, 20, 20, 30, 5, 5, 5, 5], packing.Index(docs), window=60)[0]
