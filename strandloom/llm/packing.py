@@ -1,15 +1,23 @@
 """Lexical retrieval packing: BM25 neighbours fill each seed document's window.
 
-The corpus is dealt into shards (runs of a partition's rows of bounded size),
-each with its own BM25 inverted index over its documents' words. A window
-starts with what is left of a document, or with the next unused one (the
+A window starts with what is left of a document, or with the next unused one (the
 seed); the seed's best unused neighbours by BM25 follow until the window is
 full. A document that crosses the end of the window is cut there, and its rest
-seeds the next window. So all windows but a shard's last hold exactly ``WINDOW``
+seeds the next window. So all windows but the last hold exactly ``WINDOW``
 tokens; the last is cut into powers of two, which need no padding.
 
-Narrow: nothing is shuffled, and memory holds one shard. Retrieval sees the
-shard alone, as a sharded index does.
+The corpus is one: its number of documents, mean length and document frequencies
+are those of all rows, and a seed's neighbours may be any of them. Rows are
+numbered in the order of key and text, so the result doesn't depend on how the
+input is split. Retrieval goes in rounds. In a round every document that asks meets
+every block of the index of unused ones, one narrow pass each, and gets its
+``ASKED`` best; used documents never come back, so the first unused of
+those is the best of all unused. Where a list runs out before its window is
+full, the window waits for the next round, whose index is smaller.
+
+Work grows with the square of the corpus, as every document is scored against all
+that share a weighing term with it. The driver holds ``ASKED`` row numbers for
+each unused document, and deals them out; it also numbers the weighing terms.
 """
 
 from __future__ import annotations
@@ -17,20 +25,31 @@ from __future__ import annotations
 import functools
 import hashlib
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches, table
+from .common import Shelf, small_batches, table
 
 WINDOW = 2048
 END = 1
 VOCABULARY = "byte_bpe_50k.json"
-#: A shard ends with so many documents or bytes of text.
-SHARD_DOCS, SHARD_BYTES = 1000, 8 << 20
+#: So many documents or bytes of text are encoded at once.
+RUN_DOCS, RUN_BYTES = 1000, 8 << 20
+#: Neighbours that a document gets in a round; if they are used up, it asks again.
+ASKED = 32
+#: While windows wait, no seed opens another if there are fewer unused documents for each.
+OPEN = 16
+#: Postings of a block of the index.
+INDEX_POSTINGS = 4_000_000
+#: Terms of a block of the index that are held as dense rows, and the share of its documents that each has.
+DENSE_TERMS, DENSE_SHARE = 800, 0.03
+#: Documents that are scored at once.
+SCORED = 128
 K1, B = 1.2, 0.75
 #: Pieces of text whose tokens a worker remembers.
 REMEMBERED = 400_000
@@ -158,7 +177,7 @@ class Terms:
 
 
 class Index:
-    """BM25 over one shard: an inverted index from terms to (document, weight)."""
+    """BM25 over documents in memory: an inverted index from terms to (document, weight)."""
 
     def __init__(self, terms: list[np.ndarray]):
         n = len(terms)
@@ -173,7 +192,7 @@ class Index:
         norm = K1 * (1 - B + B * lengths / max(1.0, lengths.mean() if n else 1.0))
         self.weight = idf[term] * tf * (K1 + 1) / (tf + norm[self.doc])
         self.first = np.concatenate(([0], np.cumsum(df)))
-        # A term of one document finds no neighbour; one of half the shard or more weighs nothing.
+        # A term of one document finds no neighbour; one of half the documents or more weighs nothing.
         useful = np.flatnonzero((df > 1) & (idf > 0))
         keep = np.zeros(n_terms, bool)
         keep[useful] = True
@@ -196,41 +215,86 @@ class Index:
         return found[np.argsort(-score[found], kind="stable")]
 
 
-def pack_shard(lengths: list[int], index: Index, window: int = WINDOW) -> list[list[tuple[int, int, int]]]:
-    """Sequences of pieces (document, first id, ids). Every id is in one piece."""
-    free = np.ones(len(lengths), bool)
-    sequences: list[list[tuple[int, int, int]]] = []
-    now: list[tuple[int, int, int]] = []
-    room = window
-
-    def put(doc: int) -> None:
-        nonlocal now, room
-        free[doc] = False
-        start = 0
-        while start < lengths[doc]:
-            n = min(room, lengths[doc] - start)
-            now.append((doc, start, n))
-            start += n
-            room -= n
-            if not room:
-                sequences.append(now)
-                now, room = [], window
+class Packer:
+    """Fills windows, one stream of documents after the other. Every id is in one piece."""
 
-    for seed in range(len(lengths)):
-        if not free[seed]:
-            continue
-        put(seed)
-        while room < window:  # a window is open; its last document seeds it
-            closed = len(sequences)
-            for doc in index.neighbours(now[-1][0], free).tolist():
-                put(doc)
-                if len(sequences) > closed:
+    def __init__(self, lengths, window: int = WINDOW):
+        self.lengths, self.window = lengths, window
+        self.free, self.left = np.ones(len(lengths), bool), len(lengths)
+        self.sequences: list[list[tuple[int, int, int]]] = []
+        #: Open windows: those whose last document asks again, and those that no neighbour is left for.
+        self.waiting: list[list[tuple[int, int, int]]] = []
+        self.ended: list[list[tuple[int, int, int]]] = []
+        self.open([])
+
+    def open(self, now: list[tuple[int, int, int]]) -> None:
+        self.now, self.room = now, self.window - sum(n for _, _, n in now)
+
+    def put(self, doc: int, start: int, end: int) -> None:
+        self.left -= int(self.free[doc])
+        self.free[doc] = False
+        while start < end:
+            n = min(self.room, end - start)
+            self.now.append((doc, start, n))
+            start += n
+            self.room -= n
+            if not self.room:
+                self.sequences.append(self.now)
+                self.open([])
+
+    def fill(self, near: Callable[[int], tuple[np.ndarray, bool]]) -> bool:
+        """Neighbours into the open window and those after it; whether its last document must ask again."""
+        while self.room < self.window:  # a window is open; its last document seeds it
+            closed = len(self.sequences)
+            found, whole = near(self.now[-1][0])
+            for doc in found[self.free[found]].tolist():
+                self.put(doc, 0, int(self.lengths[doc]))
+                if len(self.sequences) > closed:
                     break
             else:
-                break  # no neighbour is left: the next unused document goes on
-    if now:
-        sequences += powers(now)
-    return sequences
+                return not whole
+        return False
+
+    def round(self, near: Callable[[int], tuple[np.ndarray, bool]]) -> None:
+        """As far as the lists go. ``near`` tells a document's neighbours, best first,
+        and whether these are all."""
+        waiting, self.waiting = self.waiting, []
+        for now in waiting:
+            self.open(now)
+            again = self.fill(near)
+            if self.now:
+                (self.waiting if again else self.ended).append(self.now)
+        self.open([])
+        for seed in range(len(self.lengths)):
+            if not self.free[seed]:
+                continue
+            found, whole = near(seed)
+            if not self.now and not whole and not self.free[found].any():
+                continue  # its list is used up; it stays a neighbour for others and asks again
+            self.put(seed, 0, int(self.lengths[seed]))
+            if self.fill(near):
+                self.waiting.append(self.now)
+                self.open([])
+                if OPEN * len(self.waiting) > self.left:
+                    break
+        if self.now:
+            self.ended.append(self.now)
+
+    def finish(self) -> list[list[tuple[int, int, int]]]:
+        """All sequences, once every document is used."""
+        rest = [*self.ended, *self.waiting]
+        self.open([])
+        for now in rest:
+            for doc, start, n in now:
+                self.put(doc, start, start + n)
+        return self.sequences + (powers(self.now) if self.now else [])
+
+
+def pack_shard(lengths: list[int], index: Index, window: int = WINDOW) -> list[list[tuple[int, int, int]]]:
+    """Sequences of pieces (document, first id, ids), all in memory."""
+    packer = Packer(lengths, window)
+    packer.round(lambda doc: (index.neighbours(doc, packer.free), True))
+    return packer.finish()
 
 
 def powers(pieces: list[tuple[int, int, int]]) -> list[list[tuple[int, int, int]]]:
@@ -254,26 +318,21 @@ def powers(pieces: list[tuple[int, int, int]]) -> list[list[tuple[int, int, int]
     return out
 
 
-def pack(docs: DataFrame, tokenizer_path: str, *, key: str = "doc_id", text: str = "text", window: int = WINDOW, with_ids: bool = False) -> DataFrame:
-    """One row for each piece: key, start, length, ids_crc32, doc_tokens, sequence_id,
-    offset, and the ids themselves if asked for.
-
-    Null texts are empty and hold the end id alone. Repeated rows are packed
-    each. sequence_id is unique (partition and number); offsets are gapless. A
-    very long text fills as many windows as it needs. An empty table has no rows.
-    """
+def encoded(docs: DataFrame, tokenizer_path: str, key: str, text: str) -> DataFrame:
+    """Key, place (partition, number in it) in the order of key and text, ids, number of
+    words, and the distinct terms with their counts."""
     small_batches(docs.sparkSession)
-    names = [key, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * with_ids
-    fields = [docs.schema[key], *(T.StructField(n, T.LongType()) for n in names[1:7])] + [T.StructField("ids", T.ArrayType(T.LongType()))] * with_ids
+    rows = docs.select(F.col(f"`{key}`").alias("key"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
+    kinds = T.StructType([T.StructField("key", docs.schema[key].dataType), *(T.StructField(n, T.LongType()) for n in ("p", "k", "words")), T.StructField("ids", T.BinaryType()), T.StructField("terms", T.ArrayType(T.LongType())), T.StructField("tfs", T.ArrayType(T.IntegerType()))])
 
-    def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]]]:
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]]]:
         keys, held, size = [], [], 0
         for b in batches:
             for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 keys.append(k)
-                held.append(t or "")
-                size += len(held[-1])
-                if len(held) >= SHARD_DOCS or size >= SHARD_BYTES:
+                held.append(t)
+                size += len(t)
+                if len(held) >= RUN_DOCS or size >= RUN_BYTES:
                     yield keys, held
                     keys, held, size = [], [], 0
         if held:
@@ -281,30 +340,217 @@ def pack(docs: DataFrame, tokenizer_path: str, *, key: str = "doc_id", text: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
+        from pyspark.sql.pandas.types import to_arrow_schema
 
-        encoder = Encoder(tokenizer_path)
-        sequence = TaskContext.get().partitionId() << 40
-        for keys, held in shards(batches):
+        encoder, p, done = Encoder(tokenizer_path), TaskContext.get().partitionId(), 0
+        for keys, held in runs(batches):
             ids, terms = encoder.encode(held)
-            ids = [np.append(i, np.uint32(END)).astype("<u4") for i in ids]
-            out: list[list] = [[] for _ in names]
-            for own in pack_shard([len(i) for i in ids], Index(terms), window):
-                offset = 0
-                for doc, start, n in own:
-                    piece = ids[doc][start : start + n]
-                    row = (keys[doc], start, n, zlib.crc32(piece.tobytes()), len(ids[doc]), sequence, offset)
-                    for c, v in zip(out, row if not with_ids else (*row, piece.tolist()), strict=True):
-                        c.append(v)
-                    offset += n
-                sequence += 1
-            yield pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(out, schema(), strict=True)], names)
+            own = [np.unique(t, return_counts=True) for t in terms]
+            columns = [keys, [p] * len(keys), list(range(done, done + len(keys))), [len(t) for t in terms], [np.append(i, END).astype("<u4").tobytes() for i in ids], [t for t, _ in own], [n for _, n in own]]
+            done += len(keys)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, to_arrow_schema(kinds), strict=True)], kinds.names)
+
+    return rows.repartitionByRange("key", "text").sortWithinPartitions("key", "text").mapInArrow(run, kinds)
+
 
-    def schema():
+def weighed(rows: DataFrame, n: int, mean: float) -> DataFrame:
+    """Place of every document, its weighing terms (numbered over all rows) and their weights."""
+    count = rows.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").alias("df"))
+    # A term of one document finds no neighbour; one of half of them or more weighs nothing.
+    idf = count.where("df > 1").select("t", F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf")).where("idf > 0").toArrow()
+    order = np.argsort(idf["t"].to_numpy())
+    sent = rows.sparkSession.sparkContext.broadcast((idf["t"].to_numpy()[order], idf["idf"].to_numpy()[order]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, idf = sent.value
+        for b in batches:
+            (flat, row), tf = lists(b.column(3)), lists(b.column(4))[0]
+            at = np.minimum(np.searchsorted(known, flat), max(0, len(known) - 1))
+            met = known[at] == flat if len(known) else np.zeros(len(flat), bool)
+            at, row, tf = at[met], row[met], tf[met]
+            weight = idf[at] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * b.column(2).to_numpy()[row] / max(1.0, mean)))
+            begin = pa.array(np.searchsorted(row, np.arange(b.num_rows + 1)), pa.int32())
+            t, w = (pa.ListArray.from_arrays(begin, pa.array(x, kind)) for x, kind in ((at, pa.int32()), (weight, pa.float32())))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), t, w], ["p", "k", "t", "w"])
+
+    return rows.select("p", "k", "words", "terms", "tfs").mapInArrow(run, "p long, k long, t array<int>, w array<float>")
+
+
+def blocks(sizes: np.ndarray, chosen: np.ndarray, limit: int) -> tuple[np.ndarray, int]:
+    """Each chosen document's block of about ``limit`` postings, -1 for the others; how many blocks."""
+    own = np.where(chosen & (sizes > 0), sizes, 0)
+    out = np.where(own > 0, (np.cumsum(own) - own) // limit, -1)
+    return out, int(out.max(initial=-1)) + 1
+
+
+def lists(values: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All values of a list column, and the row of each."""
+    values = values.combine_chunks() if isinstance(values, pa.ChunkedArray) else values
+    sizes = values.value_lengths().to_numpy(zero_copy_only=False)
+    return values.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(sizes)), sizes)
+
+
+class Block:
+    """Some of the corpus's documents, to be asked by any. Terms of many of them are
+    dense rows, so that their part of the scores is a matrix product."""
+
+    def __init__(self, numbers: np.ndarray, terms: np.ndarray, weights: np.ndarray, doc: np.ndarray):
+        self.numbers = numbers
+        self.known, term = np.unique(terms, return_inverse=True)
+        df = np.bincount(term, minlength=len(self.known))
+        heavy = np.argsort(-df, kind="stable")[:DENSE_TERMS]
+        heavy = heavy[df[heavy] > DENSE_SHARE * len(numbers)]
+        self.place = np.full(len(self.known), -1, np.int32)
+        self.place[heavy] = np.arange(len(heavy))
+        own = self.place[term] >= 0
+        self.heavy = self.place[term[own]], doc[own].astype(np.int32), weights[own]
+        order = np.flatnonzero(~own)[np.argsort(term[~own], kind="stable")]
+        self.doc, self.weight = doc[order].astype(np.int32), weights[order]
+        self.first = np.concatenate(([0], np.cumsum(np.where(self.place >= 0, 0, df))))
+
+    @functools.cached_property
+    def dense(self) -> np.ndarray:
+        row, doc, weight = self.heavy
+        out = np.zeros((int(self.place.max(initial=-1)) + 1, len(self.numbers)), np.float32)
+        out[row, doc] = weight
+        return out
+
+    def best(self, who: np.ndarray, terms: np.ndarray, row: np.ndarray, asked: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each document of ``who``, whose terms have its place in ``row``: numbers and
+        scores of its best ones here but itself, of equals the first."""
+        n = len(self.numbers)
+        at = np.minimum(np.searchsorted(self.known, terms), len(self.known) - 1)
+        met = self.known[at] == terms
+        at, row = at[met], row[met]
+        begin = np.searchsorted(row, np.arange(len(who) + 1))
+        for low in range(0, len(who), SCORED):
+            high = min(low + SCORED, len(who))
+            own, own_row = self.place[at[begin[low] : begin[high]]], row[begin[low] : begin[high]] - low
+            wanted = np.zeros((high - low, len(self.dense)), np.float32)
+            wanted[own_row[own >= 0], own[own >= 0]] = 1
+            score = wanted @ self.dense
+            for k in range(low, high):
+                mine = at[begin[k] : begin[k + 1]]
+                mine = mine[self.place[mine] < 0]
+                size = self.first[mine + 1] - self.first[mine]
+                hits = np.arange(int(size.sum())) + np.repeat(self.first[mine] - (np.cumsum(size) - size), size)
+                s = score[k - low]
+                s += np.bincount(self.doc[hits], self.weight[hits], n).astype(np.float32)
+                itself = np.searchsorted(self.numbers, who[k])
+                if itself < n and self.numbers[itself] == who[k]:
+                    s[itself] = 0
+                found = np.flatnonzero(s >= np.partition(s, n - asked)[n - asked]) if n > asked else np.arange(n)
+                found = found[s[found] > 0]
+                found = found[np.argsort(-s[found], kind="stable")][:asked]
+                yield self.numbers[found], s[found]
+
+
+POSTS = "row long, t array<int>, w array<float>"
+
+
+def chosen_posts(posts: DataFrame, before: np.ndarray, chosen: np.ndarray) -> DataFrame:
+    """Numbers, terms and weights of the chosen documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            row = before[b.column(0).to_numpy()] + b.column(1).to_numpy()
+            own = pa.array(np.flatnonzero(chosen[row]))
+            yield pa.RecordBatch.from_arrays([pa.array(row, pa.int64()).take(own), b.column(2).take(own), b.column(3).take(own)], ["row", "t", "w"])
+
+    return posts.select("p", "k", "t", "w").mapInArrow(run, POSTS)
+
+
+def neighbour_lists(shelf: Shelf, posts: DataFrame, before: np.ndarray, sizes: np.ndarray, free: np.ndarray, asks: np.ndarray, asked: int) -> pa.Table:
+    """(row, near): of each document that asks its best free ones, at most ``asked``.
+
+    One narrow pass for each block of the index, which is sent to all tasks.
+    """
+    block, n_blocks = blocks(sizes, free, INDEX_POSTINGS)
+    passes = []
+    for k in range(n_blocks):
+        held = chosen_posts(posts, before, block == k).toArrow().sort_by("row")
+        (terms, doc), weights = lists(held["t"]), lists(held["w"])[0]
+        sent = posts.sparkSession.sparkContext.broadcast(Block(held["row"].to_numpy(), terms, weights, doc))
+        del held, terms, doc, weights
+
+        def ask(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                found = list(sent.value.best(b.column(0).to_numpy(), *lists(b.column(1)), asked))
+                if found:
+                    near, scores = (np.concatenate(x) for x in zip(*found, strict=True))
+                    ends = np.cumsum([0, *(len(x) for x, _ in found)])
+                    best = pa.StructArray.from_arrays([pa.array(-scores, pa.float32()), pa.array(near, pa.int32())], ["less", "near"])
+                    yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), best)], ["row", "found"])
+
+        passes.append(shelf.put(chosen_posts(posts, before, asks).select("row", "t").mapInArrow(ask, "row long, found array<struct<less:float,near:int>>"), f"pass-{k}"))
+        sent.destroy()
+    if not passes:
+        return pa.table({"row": pa.array([], pa.int64()), "near": pa.array([], pa.list_(pa.int32()))})
+    merged = functools.reduce(DataFrame.union, passes).groupBy("row").agg(F.array_sort(F.flatten(F.collect_list("found"))).alias("found"))
+    out = merged.select("row", F.slice("found", 1, asked)["near"].alias("near")).toArrow()
+    for k in range(n_blocks):
+        shelf.drop(f"pass-{k}")
+    return out
+
+
+def planned(shelf: Shelf, rows: DataFrame, before: np.ndarray, lengths: np.ndarray, mean: float, window: int) -> list[list[tuple[int, int, int]]]:
+    """The sequences of all rows."""
+    packer = Packer(lengths, window)
+    posts = shelf.put(weighed(rows, len(lengths), mean), "posts")
+    held = posts.select("p", "k", F.size("t").alias("n")).toArrow()
+    sizes = np.zeros(len(lengths), np.int64)
+    sizes[before[held["p"].to_numpy()] + held["k"].to_numpy()] = held["n"].to_numpy()
+    while packer.free.any():
+        asks = packer.free.copy()
+        asks[[now[-1][0] for now in packer.waiting]] = True
+        found = neighbour_lists(shelf, posts, before, sizes, packer.free.copy(), asks, ASKED)
+        near, row = lists(found["near"])
+        begin = np.zeros(len(lengths) + 1, np.int64)
+        np.add.at(begin, found["row"].to_numpy() + 1, np.bincount(row, minlength=found.num_rows).astype(np.int64))
+        begin = np.cumsum(begin)
+        near = near[np.argsort(found["row"].to_numpy()[row], kind="stable")]
+        packer.round(lambda doc, near=near, begin=begin: (near[begin[doc] : begin[doc + 1]], begin[doc + 1] - begin[doc] < ASKED))
+    shelf.drop("posts")
+    return packer.finish()
+
+
+def pack(docs: DataFrame, tokenizer_path: str, *, key: str = "doc_id", text: str = "text", window: int = WINDOW, with_ids: bool = False) -> DataFrame:
+    """One row for each piece: key, start, length, ids_crc32, doc_tokens, sequence_id,
+    offset, and the ids themselves if asked for.
+
+    Null texts are empty and hold the end id alone. Repeated rows are packed
+    each. sequence_id is unique; offsets are gapless. A very long text fills as
+    many windows as it needs. An empty table has no rows.
+    """
+    names = [key, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * with_ids
+    fields = [docs.schema[key], *(T.StructField(n, T.LongType()) for n in names[1:7])] + [T.StructField("ids", T.ArrayType(T.LongType()))] * with_ids
+    shelf = Shelf(docs.sparkSession)
+    rows = shelf.put(encoded(docs, tokenizer_path, key, text), "encoded")
+    counts = {r.p: r.n for r in rows.groupBy("p").agg(F.count("*").alias("n")).collect()}
+    before = np.cumsum([0, *(counts.get(p, 0) for p in range(max(counts, default=0) + 1))])
+    held = rows.select("p", "k", (F.length("ids") / 4).cast("long").alias("n"), "words").toArrow()
+    lengths = np.zeros(int(before[-1]), np.int64)
+    lengths[before[held["p"].to_numpy()] + held["k"].to_numpy()] = held["n"].to_numpy()
+    mean = float(held["words"].to_numpy().sum()) / max(1, len(lengths))
+    pieces = np.array([(doc, start, n, s, offset) for s, own in enumerate(planned(shelf, rows, before, lengths, mean, window)) for (doc, start, n), offset in zip(own, np.cumsum([0, *(n for _, _, n in own)]).tolist(), strict=False)], np.int64).reshape(-1, 5)
+    pieces = pieces[np.lexsort((pieces[:, 1], pieces[:, 0]))]
+    first = np.searchsorted(pieces[:, 0], np.arange(len(lengths) + 1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        return to_arrow_schema(T.StructType(fields))
+        for b in batches:
+            out: list[list] = [[] for _ in names]
+            for own, p, k, raw in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                doc, ids = before[p] + k, np.frombuffer(raw, "<u4")
+                for _, start, n, s, offset in pieces[first[doc] : first[doc + 1]].tolist():
+                    piece = ids[start : start + n]
+                    row = (own, start, n, zlib.crc32(piece.tobytes()), len(ids), s, offset)
+                    for c, v in zip(out, row if not with_ids else (*row, piece.tolist()), strict=True):
+                        c.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(out, to_arrow_schema(T.StructType(fields)), strict=True)], names)
 
-    return docs.select(key, text).mapInArrow(run, T.StructType(fields))
+    return rows.select("key", "p", "k", "ids").mapInArrow(run, T.StructType(fields))
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -165,6 +165,60 @@ def test_neighbours_share_a_window():
     assert [d for d, _, _ in first] == [0, 3]
 
 
+def topic_rows():
+    """Groups of texts on a topic, whose rows lie far apart, and words that all share."""
+    rng = random.Random(3)
+    common = [f"c{k}" for k in range(40)]
+    rows = []
+    for k in range(240):
+        own = [f"topic{k % 60}x{j}" for j in range(12)]
+        rows.append((k, " ".join(rng.choice(own if rng.random() < 0.6 else common) for _ in range(60))))
+    return rows
+
+
+def plan_of(df):
+    return sorted((r.doc_id, r.start, r.length, r.ids_crc32, r.sequence_id, r.offset) for r in df.collect())
+
+
+def in_memory(rows, window):
+    """All rows in one index, in the order of their keys."""
+    encoder = packing.Encoder(PATH)
+    ids, terms = encoder.encode([t for _, t in rows])
+    out = []
+    for s, own in enumerate(packing.pack_shard([len(i) + 1 for i in ids], packing.Index(terms), window)):
+        offset = 0
+        for doc, start, n in own:
+            piece = np.append(ids[doc], packing.END)[start : start + n].astype("<u4")
+            out.append((rows[doc][0], start, n, zlib.crc32(piece.tobytes()), s, offset))
+            offset += n
+    return sorted(out)
+
+
+def test_packing_retrieves_from_the_whole_corpus(frame, monkeypatch):
+    rows = topic_rows()
+    want = in_memory(rows, 700)
+    monkeypatch.setattr(packing, "ASKED", 1000)
+    monkeypatch.setattr(packing, "INDEX_POSTINGS", 1500)
+    shuffled = random.Random(1).sample(rows, len(rows))
+    for df in (frame(rows).coalesce(1), frame(rows).repartition(7), frame(shuffled).repartition(60)):
+        assert plan_of(packing.pack(df, PATH, window=700)) == want
+
+
+def test_packing_asks_again_when_a_list_is_used_up(frame, monkeypatch):
+    rows = topic_rows()
+    monkeypatch.setattr(packing, "ASKED", 2)
+    found = packing.pack(frame(rows).repartition(60), PATH, window=700).collect()
+    assert plan_of(packing.pack(frame(rows).coalesce(1), PATH, window=700)) == sorted((r.doc_id, r.start, r.length, r.ids_crc32, r.sequence_id, r.offset) for r in found)
+    tokens, where = {}, {}
+    for r in found:
+        tokens[r.doc_id] = tokens.get(r.doc_id, 0) + r.length
+        assert r.length <= r.doc_tokens
+        where.setdefault(r.sequence_id, []).append((r.offset, r.doc_id))
+    assert tokens == {r.doc_id: r.doc_tokens for r in found} and len(tokens) == len(rows)
+    first = [d for _, d in sorted(where[0])]
+    assert first[0] == 0 and first[1] % 60 == 0  # a row of its topic, 60 rows or more away
+
+
 def page_rows():
     big, other = "<p>é" + "x" * 1200, "<p>" + "y" * 5000
     return [
