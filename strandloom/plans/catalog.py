@@ -1,8 +1,10 @@
 """Queries over the driver's tables, one for each operator, with their SQL.
 
 The tables hold no nucleotides, so sequences are the hexadecimal digits of each
-text's md5, translated to letters; both engines agree on them. Every query runs
-over its whole tables.
+text's md5, translated to letters; both engines agree on them. Queries run over
+their whole tables but these, whose SQL holds the same filters: ``detangle_names``
+(``detangle_lineitem`` is without), ``align_kmers``, ``unaligned_reads`` and
+those on ``two_regions``.
 """
 
 from __future__ import annotations
@@ -259,8 +261,18 @@ SELECT ed.i AS db_seq, string_agg(ed.j, '|' ORDER BY ed.j) AS clean_name FROM ed
 def detangle_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Detangling of a dense directed graph of parts and suppliers."""
     e = read(spark, sf_dir, "lineitem").where("l_linenumber = 1 AND l_orderkey % 5 = 0").selectExpr("CAST(l_partkey % 97 AS STRING) AS i", "CAST(l_suppkey % 97 AS STRING) AS j")
-    edges = e.union(e.selectExpr("i", "i")).union(e.selectExpr("j", "j")).distinct()
-    return database.detangle(settle(edges))
+    return database.detangle(settle(with_loops(e)))
+
+
+def with_loops(e: DataFrame) -> DataFrame:
+    return e.union(e.selectExpr("i", "i")).union(e.selectExpr("j", "j")).distinct()
+
+
+@query()
+def detangle_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Detangling of the graph of all lines, keys as they are."""
+    e = read(spark, sf_dir, "lineitem").selectExpr("CAST(l_partkey AS STRING) AS i", "CAST(l_suppkey AS STRING) AS j")
+    return database.detangle(settle(with_loops(e)))
 
 
 # Counts
