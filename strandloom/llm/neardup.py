@@ -35,8 +35,9 @@ from .common import Shelf, append_columns, attach_group, table, texts
 
 #: Places on the circle, and the seed of both permutations.
 CIRCLE, SEED = 1 << 20, 9
-#: Rows and bands by threshold: a pair at the threshold is missed with a chance under 1e-6.
-BANDS = ((85, 5, 25), (0, 4, 32))
+#: Rows and bands by threshold: a pair at the threshold is missed with a chance under ``MISS``. Below these they are derived.
+BANDS = ((85, 5, 25), (80, 4, 32))
+MISS, MOST_BANDS = 1e-6, 64
 #: A shingle is rare if so many of the documents in question have it at most.
 RARE = 32
 #: Longs in a parity sketch of a set.
@@ -47,6 +48,20 @@ _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 _U64 = np.uint64
 
 
+def banding(percent: int) -> tuple[int, int]:
+    """Rows and bands for a threshold in percent: as many rows as leave few bands."""
+    if not 1 <= percent <= 100:
+        raise ValueError(f"percent must be from 1 to 100, not {percent}")
+    for least, rows, bands in BANDS:
+        if percent >= least:
+            return rows, bands
+    for rows in (4, 3, 2, 1):
+        bands = int(np.log(MISS) / np.log1p(-((percent / 100) ** rows))) + 1
+        if bands <= MOST_BANDS or rows == 1:
+            break
+    return rows, bands
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> _U64(32))) * _U64(0xD6E8FEB86659FD93)
     h = (h ^ (h >> _U64(32))) * _U64(0xD6E8FEB86659FD93)
@@ -185,7 +200,7 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     """
     spark = docs.sparkSession
     shelf = Shelf(spark)
-    rows, bands = next((r, b) for least, r, b in BANDS if percent >= least)
+    rows, bands = banding(percent)
     docs = docs.select(F.col(key), F.col(text))
     signed = shelf.put(signatures(docs, key, text, words, rows, bands), "signed")
 

@@ -79,6 +79,21 @@ def test_circulant_signatures_estimate_similarity():
     assert abs(np.mean(errors)) < 0.02
 
 
+def test_banding_keeps_its_bound_at_every_threshold(frame):
+    for percent in range(1, 101):
+        rows, bands = neardup.banding(percent)
+        assert (1 - (percent / 100) ** rows) ** bands < 1e-6, percent
+    assert (neardup.banding(85), neardup.banding(80)) == ((5, 25), (4, 32))
+    with pytest.raises(ValueError):
+        neardup.banding(0)
+    pairs = []
+    for k in range(60):  # 40 words shared of 80: at the threshold
+        both = [f"s{k}x{j}" for j in range(40)]
+        pairs += [(2 * k + e, " ".join(both + [f"o{k}x{e}x{j}" for j in range(20)])) for e in (0, 1)]
+    found = neardup.near_duplicates(frame(pairs), words=1, percent=50).collect()
+    assert {r.doc_id: r.component_id for r in found} == {k: k - k % 2 for k, _ in pairs}
+
+
 def packed_rows():
     rng = random.Random(8)
     some = [f"t{k}" for k in range(300)]
