@@ -5,17 +5,19 @@ shifted step by step, gives every coordinate; the minima over all shingles are
 contiguous slices of one array. Equal shingle sets are one class with one
 representative, so copies never meet in pairs.
 
-Links: in each band bucket every representative is first paired with the
-bucket's smallest one (a star: as many pairs as rows, however large the
-bucket), the pairs are verified on full sets, and components are formed. Only
-buckets that then still hold several components give further pairs, those
-between different components that can meet the threshold by exact bounds; these
-are verified too. A pair inside a component can't change the result, so no link
-that a band shows is lost.
-
-Components: smallest-label propagation with pointer jumping over tables in the
-shared folder. Joins on a key that may be hot read both sides from such tables, so
-adaptive execution can split them.
+Links: a representative is first paired with one hub, the most central one
+that it shares a band bucket with; the pairs are verified on full sets and linked
+rows contracted to components. Large buckets that still hold several components
+then get another hub in each of a few rounds, which meets members of other
+components only; a round makes one pair a row at most, however large a bucket
+is. In small buckets each row meets the bucket's own hub. What is left, pairs of a bucket but of different components that can meet the
+threshold by exact bounds, is verified too. A pair inside a component can't
+change the result, so no link that a band shows is lost.
+
+Components: links are hooked to the smaller end, roots found by pointer jumping, and
+the links between roots taken again, over tables in the shared folder. Joins on a
+key that may be hot read both sides from such tables, so adaptive execution can
+split them.
 """
 
 from __future__ import annotations
@@ -42,6 +44,8 @@ MISS, MOST_BANDS = 1e-6, 64
 RARE = 32
 #: Longs in a parity sketch of a set.
 SKETCH = 8
+#: Rounds of further hubs, for buckets of more rows than this.
+ROUNDS, SMALL = 4, 8
 REMEMBERED = 400_000
 
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
@@ -155,37 +159,64 @@ def shingle_sets(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those pairs (x, y) whose sets meet the threshold, confirmed on full sets."""
+    """Those rows of ``pairs`` (x, y and others) whose sets meet the threshold, confirmed on full sets."""
     a = sets.select(F.col("id").alias("x"), F.col("shingles").alias("a"))
     b = sets.select(F.col("id").alias("y"), F.col("shingles").alias("b"))
     na, nb = F.size("a"), F.size("b")
     # Shuffled at every size, so that small inputs cost in proportion.
     both = pairs.hint("merge").join(a, "x").hint("merge").join(b, "y").where(100 * F.least(na, nb) >= percent * F.greatest(na, nb))
     shared = F.size(F.array_intersect("a", "b"))
-    return both.withColumn("__i", shared).where(100 * F.col("__i") >= percent * (na + nb - F.col("__i"))).select("x", "y")
+    return both.withColumn("__i", shared).where(100 * F.col("__i") >= percent * (na + nb - F.col("__i"))).select(*pairs.columns)
 
 
-def components(links: DataFrame, shelf: Shelf, name: str) -> DataFrame:
-    """(id, label): for each linked id the smallest id that it reaches."""
-    edges = shelf.put(links.select("x", "y").union(links.select("y", "x")).distinct(), f"{name}-edges")
-    label = shelf.put(edges.groupBy("x").agg(F.min("y").alias("m")).select(F.col("x").alias("id"), F.least("x", "m").alias("label")), f"{name}-0")
-    total = label.agg(F.sum(F.col("label").cast("decimal(38,0)"))).first()[0]
-    step = 0
-    while total is not None:
+def rooted(parents: DataFrame, shelf: Shelf, name: str) -> DataFrame:
+    """(id, label): the root above each id, by pointer jumping over a forest of (id, label)."""
+    label, step = shelf.put(parents.select("id", "label"), f"{name}-0"), 0
+    while True:
         step += 1
-        far = label.select(F.col("id").alias("label"), F.col("label").alias("next"))
-        hop = shelf.put(label.join(far, "label").select("id", F.col("next").alias("label")), f"{name}-hop{step}")
-        near = edges.join(hop.withColumnRenamed("id", "y"), "y").groupBy(F.col("x").alias("id")).agg(F.min("label").alias("m"))
-        new = shelf.put(hop.join(near, "id").select("id", F.least("label", "m").alias("label")), f"{name}-{step}")
-        now = new.agg(F.sum(F.col("label").cast("decimal(38,0)"))).first()[0]
-        shelf.drop(f"{name}-hop{step}")
+        up = label.select(F.col("id").alias("label"), F.col("label").alias("next"))
+        jumped = label.join(up, "label", "left").select("id", F.coalesce("next", "label").alias("label"), F.col("next").isNotNull().alias("moved"))
+        label = shelf.put(jumped, f"{name}-{step}")
         shelf.drop(f"{name}-{step - 1}")
-        label = new
-        if now == total:
-            break
-        total = now
-    shelf.drop(f"{name}-edges")
-    return label
+        if label.where("moved").isEmpty():
+            return label.select("id", "label")
+        label = label.select("id", "label")
+
+
+def relabelled(label: DataFrame, to: DataFrame) -> DataFrame:
+    """(id, label) after the labels that ``to`` names have moved on."""
+    on = to.select(F.col("id").alias("label"), F.col("label").alias("next"))
+    return label.join(on, "label", "left").select("id", F.coalesce("next", "label").alias("label")).union(to.select("id", "label"))
+
+
+def components(edges: DataFrame, shelf: Shelf, name: str) -> DataFrame:
+    """(id, label): for each end of ``edges`` (a, b) that isn't itself one, the root of its component."""
+    edges = shelf.put(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), f"{name}-edges0")
+    label, step = None, 0
+    while not edges.isEmpty():
+        # Each id hooks to its smallest neighbour if that is smaller, so there are no cycles.
+        forest = rooted(edges.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("label")), shelf, f"{name}-forest{step}")
+        label = forest if label is None else shelf.put(relabelled(label, forest), f"{name}-{step}")
+        ends = edges
+        for end in ("a", "b"):
+            ends = ends.join(forest.select(F.col("id").alias(end), F.col("label").alias("root")), end, "left").withColumn(end, F.coalesce("root", end)).drop("root")
+        step += 1
+        edges = shelf.put(ends.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), f"{name}-edges{step}")
+        shelf.drop(f"{name}-edges{step - 1}")
+    shelf.drop(f"{name}-edges{step}")
+    return edges.select(F.col("a").alias("id"), F.col("b").alias("label")) if label is None else label
+
+
+def labelled(members: DataFrame, label: DataFrame) -> DataFrame:
+    return members.join(label.withColumnRenamed("id", "x"), "x", "left").withColumn("label", F.coalesce("label", "x"))
+
+
+def hub_pairs(rows: DataFrame, step: int) -> DataFrame:
+    """(x, y, label, other): each row of a split bucket with one hub of another component, at most one pair a row."""
+    drawn = F.xxhash64(F.lit(step), F.col("x"))
+    hubs = rows.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min(F.struct(drawn.alias("h"), F.col("x").alias("y"), F.col("label").alias("other"))).alias("hub"))
+    met = rows.join(hubs.where("low <> high").select("band", "hub"), "band").where("label <> hub.other")
+    return met.groupBy("x", "label").agg(F.min("hub").alias("hub")).select("x", "hub.y", "label", "hub.other")
 
 
 def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
@@ -196,7 +227,8 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     linked if 100 * intersection >= ``percent`` * union; component_id is the
     smallest key reachable. Keys are integers; rows that repeat a key are taken
     to repeat its text. Null and empty texts have no shingles and are linked
-    with nothing. Empty tables give none.
+    with nothing. A row without a key is linked with nothing but equal sets, and
+    has a null component_id if no such row has a key. Empty tables give none.
     """
     spark = docs.sparkSession
     shelf = Shelf(spark)
@@ -204,34 +236,53 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     docs = docs.select(F.col(key), F.col(text))
     signed = shelf.put(signatures(docs, key, text, words, rows, bands), "signed")
 
-    heads = signed.where("n_shingles > 0").groupBy("set_key", "n_shingles", "bands").agg(F.min(key).alias("x"))
+    heads = signed.where("n_shingles > 0").groupBy("set_key", "n_shingles", "bands").agg(F.min(key).alias("x")).where("x IS NOT NULL")
     heads = shelf.put(heads.select("x", F.col("n_shingles").alias("n"), "bands"), "heads")
     banded = heads.select("x", "n", F.explode("bands").alias("band"))
-    buckets = shelf.put(banded.groupBy("band").agg(F.min("x").alias("hub"), F.count("*").alias("rows")).where("rows > 1").select("band", "hub"), "buckets")
+    buckets = shelf.put(banded.groupBy("band").agg(F.count("*").alias("rows")).where("rows > 1"), "buckets")
     members = shelf.put(banded.join(buckets, "band"), "members")
-    shelf.drop("buckets")
-
-    stars = shelf.put(members.where("x <> hub").select("x", F.col("hub").alias("y")).distinct(), "stars")
-    wanted = stars.select(F.col("x").alias(key)).union(stars.select("y")).distinct()
-    sets = shelf.put(shingle_sets(docs.join(wanted.hint("merge"), key, "left_semi"), key, text, words).dropDuplicates(["id"]), "sets")
-    links = shelf.put(verified(stars, sets, percent), "links")
-    label = components(links, shelf, "first")
 
-    more = shelf.put(further_pairs(members, label, sets, percent, shelf), "further")
-    found = shelf.put(verified(more, sets, percent), "further-links")
-    if not found.isEmpty():
-        label = components(links.union(found), shelf, "second")
-    for name in ("heads", "members", "stars", "sets", "further", "open", "able", "rare", "by-band"):
-        shelf.drop(name)
+    # Central rows share their buckets with many; the most central of a bucket is its hub.
+    central = members.groupBy("x").agg(F.sum("rows").alias("c"))
+    ranked = shelf.put(members.join(central.withColumnRenamed("x", "__x"), F.col("x") == F.col("__x")).select("band", "x", F.struct("c", (-F.col("x")).alias("less"), F.col("x").alias("y")).alias("rank")), "ranked")
+    hubs = shelf.put(ranked.groupBy("band").agg(F.max("rank").alias("hub")), "hubs")
+    stars = shelf.put(ranked.join(hubs, "band").groupBy("x").agg(F.max("hub").alias("hub")).select("x", F.col("hub.y").alias("y")), "stars")
+    sets = shelf.put(shingle_sets(docs.join(stars.select(F.col("x").alias(key)).hint("merge"), key, "left_semi"), key, text, words).dropDuplicates(["id"]), "sets")
+    label = rooted(verified(stars.where("x <> y"), sets, percent).select(F.col("x").alias("id"), F.col("y").alias("label")), shelf, "first")
+
+    for step in range(ROUNDS):
+        open_ = shelf.put(labelled(members.where(F.col("rows") > SMALL), label), f"open{step}")
+        links = shelf.put(verified(hub_pairs(open_, step), sets, percent), f"links{step}")
+        if links.isEmpty():
+            break
+        label = shelf.put(relabelled(label, components(links.select(F.col("label").alias("a"), F.col("other").alias("b")), shelf, f"hub{step}")), f"label{step}")
+
+    met = members.join(hubs.select("band", F.col("hub.y").alias("hub")), "band").join(stars.withColumnRenamed("y", "star"), "x")
+    met = shelf.put(met, "met")
+    for name, pairs in (("own", small_stars), ("further", further_pairs)):
+        more = shelf.put(pairs(shelf.put(labelled(met, label), f"{name}-rows"), sets, percent, shelf), name)
+        found = shelf.put(verified(more, sets, percent), f"{name}-links")
+        if not found.isEmpty():
+            label = shelf.put(relabelled(label, components(found.select(F.col("label").alias("a"), F.col("other").alias("b")), shelf, f"{name}-merge")), f"{name}-label")
+    least = label.groupBy("label").agg(F.min("id").alias("m")).select("label", F.least("m", "label").alias("least"))
+    named = label.join(least, "label").select("id", "least").union(least.select("label", "least"))
 
     def reached(whole: DataFrame) -> DataFrame:
-        known = label.select(F.col("id").alias("__head"), "label")
-        return whole.join(known, "__head", "left").select("set_key", F.coalesce("label", "__head").alias("component_id"))
+        known = named.select(F.col("id").alias("__head"), "least")
+        return whole.join(known, "__head", "left").select("set_key", F.coalesce("least", "__head").alias("component_id"))
 
     out = attach_group(signed.select(key, "n_shingles", "set_key"), ["set_key"], [key], {"__head": ("min", key)}, reached)
     return out.select(key, "n_shingles", "component_id")
 
 
+def small_stars(rows: DataFrame, sets: DataFrame, percent: int, shelf: Shelf) -> DataFrame:
+    """(x, y, label, other): rows of small split buckets with the bucket's hub, of another component."""
+    small = rows.where(F.col("rows") <= SMALL)
+    split = small.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max(F.when(F.col("x") == F.col("hub"), F.col("label"))).alias("other"))
+    met = small.join(split.where("low <> high").select("band", "other"), "band").where("label <> other AND hub <> star")
+    return met.select("x", F.col("hub").alias("y"), "label", "other").distinct()
+
+
 def parity(gram: str) -> Column:
     """Aggregate: ``SKETCH`` longs; each bit says whether an odd number of the hashes fall on it."""
     at = F.pmod(F.shiftright(gram, 6), F.lit(SKETCH))
@@ -239,9 +290,9 @@ def parity(gram: str) -> Column:
     return F.array(*(F.bit_xor(F.when(at == k, bit).otherwise(F.lit(0).cast("long"))) for k in range(SKETCH)))
 
 
-def further_pairs(members: DataFrame, label: DataFrame, sets: DataFrame, percent: int, shelf: Shelf) -> DataFrame:
-    """Pairs of one bucket but different components that no star has tested, and
-    that can meet the threshold.
+def further_pairs(known: DataFrame, sets: DataFrame, percent: int, shelf: Shelf) -> DataFrame:
+    """(x, y, label, other): pairs of one bucket but different components that were
+    not tested with a hub, and that can meet the threshold.
 
     Shingles that no other of these documents has can't be shared, which bounds
     a pair's similarity; so does leaving out the rare ones, unless the pair has
@@ -252,21 +303,22 @@ def further_pairs(members: DataFrame, label: DataFrame, sets: DataFrame, percent
     shingle at least that only one set has, and too many of those rule the
     threshold out. All three are exact.
     """
-    labelled = members.join(label.withColumnRenamed("id", "x"), "x", "left").withColumn("label", F.coalesce("label", "x"))
-    split = labelled.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("band")
-    rows = shelf.put(labelled.join(split, "band", "left_semi").where("x <> hub").select("band", "x", "n", "label"), "open")
+    left = known.where((F.col("rows") > SMALL) | (F.col("x") != F.col("hub")))
+    split = left.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("band")
+    rows = shelf.put(left.join(split, "band", "left_semi").select("band", "x", "n", "label", "star"), "open")
 
-    own = rows.select("x", "n", "label").distinct()
+    own = rows.select("x", "n", "label", "star").distinct()
     grams = sets.join(own.select(F.col("x").alias("id")), "id", "left_semi").select(F.col("id").alias("x"), F.explode("shingles").alias("g"))
     shared = grams.join(grams.groupBy("g").agg(F.count("*").alias("df")).where("df > 1"), "g")
     counts = shared.groupBy("x").agg(F.count("*").alias("c"), F.sum((F.col("df") > RARE).cast("long")).alias("f"), parity("g").alias("sketch"))
     able = shelf.put(own.join(counts, "x").where(100 * F.col("c") >= percent * F.col("n")), "able")
-    rare = shelf.put(shared.where(F.col("df") <= RARE).select("g", "x").join(able.drop("sketch"), "x").select("g", "x", "n", "label", "c"), "rare")
+    rare = shelf.put(shared.where(F.col("df") <= RARE).select("g", "x").join(able.drop("sketch"), "x").select("g", "x", "n", "label", "star", "c"), "rare")
 
     def meet(table: DataFrame, key: str, held: str, once: bool = False) -> DataFrame:
         a, b = table.alias("a"), table.alias("b")
         na, nb, most = F.col("a.n"), F.col("b.n"), F.least(f"a.{held}", f"b.{held}")
         near = (F.col(f"a.{key}") == F.col(f"b.{key}")) & (F.col("a.x") < F.col("b.x")) & (F.col("a.label") != F.col("b.label"))
+        near &= (F.col("a.star") != F.col("b.x")) & (F.col("b.star") != F.col("a.x"))
         near &= (100 * na >= percent * nb) & (100 * nb >= percent * na) & (100 * most >= percent * (na + nb - most))
         if once:  # in the first bucket that the pair has in common
             flips = reduce(add, (F.bit_count(F.col("a.sketch")[k].bitwiseXOR(F.col("b.sketch")[k])) for k in range(SKETCH)))
@@ -274,10 +326,10 @@ def further_pairs(members: DataFrame, label: DataFrame, sets: DataFrame, percent
             apart = na - F.col("a.c") + nb - F.col("b.c") + flips
             near &= (100 + percent) * apart <= (100 - percent) * (na + nb)
             near &= F.get(F.array_intersect("a.bands", "b.bands"), F.lit(0)) == F.col("a.band")
-        return a.join(b, near).select(F.col("a.x").alias("x"), F.col("b.x").alias("y"))
+        return a.join(b, near).select(F.col("a.x").alias("x"), F.col("b.x").alias("y"), F.col("a.label").alias("label"), F.col("b.label").alias("other"))
 
     listed = rows.groupBy("x").agg(F.array_sort(F.collect_set("band")).alias("bands"))
-    listed = listed.join(able.select("x", "n", "label", "c", "f", "sketch"), "x").withColumn("band", F.explode("bands"))
+    listed = listed.join(able.select("x", "n", "label", "star", "c", "f", "sketch"), "x").withColumn("band", F.explode("bands"))
     by_band = shelf.put(listed, "by-band")
     return meet(by_band, "band", "f", once=True).union(meet(rare, "g", "c")).distinct()
 
