@@ -3,29 +3,30 @@
 A window starts with what is left of a document, or with the next unused one (the
 seed); the seed's best unused neighbours by BM25 follow until the window is
 full. A document that crosses the end of the window is cut there, and its rest
-seeds the next window. So all windows but the last hold exactly ``WINDOW``
+seeds the next window. So all windows but a shard's last hold exactly ``WINDOW``
 tokens; the last is cut into powers of two, which need no padding.
 
-The corpus is one: its number of documents, mean length and document frequencies
-are those of all rows, and a seed's neighbours may be any of them. Rows are
-numbered in the order of key and text, so the result doesn't depend on how the
-input is split. Retrieval goes in rounds. In a round every document that asks meets
-every block of the index of unused ones, one narrow pass each, and gets its
-``ASKED`` best; used documents never come back, so the first unused of
-those is the best of all unused. Where a list runs out before its window is
-full, the window waits for the next round, whose index is smaller.
-
-Work grows with the square of the corpus, as every document is scored against all
-that share a weighing term with it. The driver holds ``ASKED`` row numbers for
-each unused document, and deals them out; it also numbers the weighing terms.
+The inverted index is sharded by content. The weights are those of the whole
+corpus: one pass counts its documents, its words, and in how many documents each
+slot of hashed words occurs. A second pass gives each document a place on a line,
+by weighted minima of its words' hashes, so that documents with the same heavy
+words are close; cuts of that line, quantiles of a sample, deal the documents to
+partitions, where they are sorted by place, key and text and taken in shards
+that fit in memory. A seed asks its own shard's index. Shards depend on the rows,
+not on how the input is split.
+
+Nothing grows with the corpus but the cuts, eight bytes for a partition. A place
+ends in bits of the key's and text's hash, so a group of copies is spread over as
+many partitions as its size asks for.
 """
 
 from __future__ import annotations
 
 import functools
-import hashlib
+import json
+import os
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,41 +34,90 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Shelf, small_batches, table
+from .common import slices, small_batches, table
 
 WINDOW = 2048
 END = 1
 VOCABULARY = "byte_bpe_50k.json"
-#: So many documents or bytes of text are encoded at once.
-RUN_DOCS, RUN_BYTES = 1000, 8 << 20
-#: Neighbours that a document gets in a round; if they are used up, it asks again.
-ASKED = 32
-#: While windows wait, no seed opens another if there are fewer unused documents for each.
-OPEN = 16
-#: Postings of a block of the index.
-INDEX_POSTINGS = 4_000_000
-#: Terms of a block of the index that are held as dense rows, and the share of its documents that each has.
-DENSE_TERMS, DENSE_SHARE = 800, 0.03
-#: Documents that are scored at once.
-SCORED = 128
+SEED = 6
+#: Documents and bytes of text of a shard, which are in memory at once; a longer text is alone.
+SHARD_DOCS, SHARD_BYTES = 2000, 8 << 20
+#: Bytes of text of a partition, and the most partitions; beyond that each holds more shards.
+PART_BYTES, MOST_PARTS = 6 << 20, 1 << 16
+#: Documents sampled for each cut.
+SAMPLED = 64
+#: Hashed words are counted in so many slots; words that share one share its count.
+SLOTS = 1 << 20
+#: Words that decide a document's place.
+PLACES = 3
+#: Terms held as dense rows: the most, and the share of a shard's documents that each has.
+DENSE_TERMS, DENSE_SHARE = 1500, 0.06
+#: Pairs of documents that light terms score at once.
+SCORED = 4 << 20
 K1, B = 1.2, 0.75
-#: Pieces of text whose tokens a worker remembers.
-REMEMBERED = 400_000
-#: Characters of such a piece at most; texts with longer ones are encoded whole.
-LONGEST = 200
-
+#: Bytes of a piece of text that is encoded once for all its places; texts with longer ones are encoded whole.
+LONGEST = 400
 #: Pieces that are encoded in one call.
 AT_ONCE = 4096
-
-
 #: How texts are cut before merging; fixed value of byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+_U64 = np.uint64
+_WHITE = np.zeros(256, bool)
+_WHITE[[*range(9, 14), *range(28, 33)]] = True
+#: White space of more than one byte, and U+180E, in UTF-8.
+_WIDE = [chr(c).encode() for c in (0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> _U64(32))) * _U64(0xD6E8FEB86659FD93)
+    return h ^ (h >> _U64(32))
+
+
+class Hasher:
+    """64-bit hashes of many spans of a buffer at once, from the prefix sums of one
+    polynomial modulo 2**64, taken in blocks."""
+
+    BLOCK = 1 << 18
+
+    def __init__(self):
+        rng = np.random.default_rng(SEED)
+        self.table = rng.integers(0, (1 << 64) - 1, 256, dtype=_U64, endpoint=True)
+        base = 0x9E3779B97F4A7C15
+        self.up, self.down = (np.cumprod(np.append(_U64(1), np.full(self.BLOCK - 1, x, _U64))) for x in (base, pow(base, -1, 1 << 64)))
+        self.far_up, self.far_down = pow(base, self.BLOCK, 1 << 64), pow(base, -self.BLOCK, 1 << 64)
+
+    def __call__(self, buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Of spans in order, none empty beyond the buffer's end."""
+        low, high = np.zeros(len(starts), _U64), np.zeros(len(starts), _U64)
+        total, up = np.zeros(1, _U64), 1
+        for at in range(0, len(buffer), self.BLOCK):
+            part = buffer[at : at + self.BLOCK]
+            sums = np.empty(len(part) + 1, _U64)
+            sums[0] = total[0]
+            np.cumsum(self.table[part] * self.up[: len(part)], out=sums[1:])
+            sums[1:] *= _U64(up)
+            sums[1:] += total
+            for out, where in ((low, starts), (high, ends)):
+                a, b = np.searchsorted(where, (at, at + len(part) + 1))
+                out[a:b] = sums[where[a:b] - at]
+            total, up = sums[-1:].copy(), up * self.far_up % (1 << 64)
+        far = np.array([pow(self.far_down, k, 1 << 64) for k in range(len(buffer) // self.BLOCK + 1)], _U64)
+        back = self.down[starts % self.BLOCK] * far[starts // self.BLOCK]
+        return mixed((high - low) * back + (ends - starts).astype(_U64) * _U64(0xA24BAED4963EE407))
+
+
+def words_of(raw: list[bytes], hasher: Hasher) -> tuple[np.ndarray, np.ndarray]:
+    """(row, hash) of every word of some texts: runs of other than ASCII white space."""
+    buffer = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)
+    edges = np.flatnonzero(np.diff(_WHITE[buffer].view(np.int8), prepend=1))
+    starts, ends = edges[::2], edges[1::2]
+    row = np.searchsorted(np.cumsum([0, *(len(r) + 1 for r in raw)]), starts, side="right") - 1
+    return row, hasher(buffer, starts, ends)
+
 
 @functools.lru_cache(2)
 def load_tokenizer(path: str):
-    import os
-
     from tokenizers import Tokenizer
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -78,223 +128,229 @@ def load_tokenizer(path: str):
 
 @functools.lru_cache(2)
 def load_merger(path: str):
-    """The same vocabulary for tiktoken, which merges words several times as fast."""
+    """The same vocabulary for tiktoken, which merges words several times as fast; None
+    if the file is not a byte-level BPE with ``PATTERN`` whose ids follow its merges."""
     import tiktoken
 
+    with open(path, encoding="utf-8") as f:
+        whole = json.load(f)
+    model, before = whole["model"], whole["pre_tokenizer"] or {}
+    special = {x["content"] for x in whole["added_tokens"]}
+    vocabulary = {t: k for t, k in model["vocab"].items() if t not in special}
+    merges = ["".join(m if isinstance(m, list) else m.split(" ")) for m in model.get("merges", [])]
+    ordered = [vocabulary.get(m, -1) for m in merges]
+    same = model["type"] == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    same &= (before.get("type"), before.get("add_prefix_space"), before.get("use_regex", True), whole["normalizer"]) == ("ByteLevel", False, True, None)
+    if not same or ordered != list(range(256, 256 + len(merges))) or len(vocabulary) != 256 + len(merges):
+        return None
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     others = [b for b in range(256) if b not in plain]
     byte = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(others)}
-    t = load_tokenizer(path)
-    special = {x.content for x in t.get_added_tokens_decoder().values()}
-    ranks = {bytes(byte[c] for c in token): k for token, k in t.get_vocab().items() if token not in special}
+    ranks = {bytes(byte[c] for c in token): k for token, k in vocabulary.items()}
     return tiktoken.Encoding("pieces", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def irregular(raw: list[bytes]) -> np.ndarray:
+    """Which texts have white space other than single blanks and line ends between
+    other characters, or a long piece between blanks."""
+    joined = b"\n".join([b"", *raw, b""])
+    buffer = np.frombuffer(joined, np.uint8)
+    first = np.cumsum([1, *(len(r) + 1 for r in raw)])
+    out = np.zeros(len(raw) + 1, bool)
+    white = _WHITE[buffer]
+    twice = np.flatnonzero(white[:-1] & white[1:])
+    for at in (twice, twice + 1, np.flatnonzero(white & (buffer != 32) & (buffer != 10))):
+        own = np.searchsorted(first, at, side="right") - 1
+        own, at = own[own >= 0], at[own >= 0]
+        out[own[at < first[np.minimum(own + 1, len(raw))] - 1]] = True
+    cuts = np.sort(np.concatenate((first - 1, np.flatnonzero(buffer == 32))))
+    long = cuts[:-1][np.diff(cuts) > LONGEST]
+    out[np.searchsorted(first - 1, long, side="right") - 1] = True
+    if any(w[:2] in joined for w in dict.fromkeys(w[:2] for w in _WIDE)):
+        for k, r in enumerate(raw):
+            out[k] |= any(w in r for w in _WIDE)
+    return out[:-1]
+
+
 class Encoder:
     """Token ids of texts, as the tokenizer of ``path`` gives them. A byte-level
     BPE with this pattern never merges over a single blank between two other
     characters, which begins a token with what follows; so texts are split there,
-    and each distinct piece is encoded once, many in one call: the tokens'
-    lengths in bytes tell where a piece ends."""
+    and each distinct piece of a shard is encoded once, many in one call: the
+    tokens' lengths in bytes tell where a piece ends."""
 
     def __init__(self, path: str):
-        self.tokenizer, self.merger = load_tokenizer(path), load_merger(path)
+        self.tokenizer, self.merger, self.hasher = load_tokenizer(path), load_merger(path), Hasher()
         vocabulary = self.tokenizer.get_vocab()
         self.bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, k in vocabulary.items():
             self.bytes[k] = len(token)  # a byte-level token has a character for each byte
-        self.terms = Terms()
-        self.forget()
 
-    def forget(self) -> None:
-        self.number: dict[str, int] = {}
-        self.flat = np.zeros(0, np.uint32)
-        self.starts = np.zeros(1, np.int64)
+    def direct(self, raw: list[bytes]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast([r.decode() for r in raw], add_special_tokens=False)]
 
-    def direct(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def learn(self, pieces: list[str]) -> None:
-        """Encode new pieces, each with the blank before it."""
+    def follow(self, pieces: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Ids of distinct pieces, each with the blank before it, and how many each has."""
+        out = []
         for k in range(0, len(pieces), AT_ONCE):
             own = pieces[k : k + AT_ONCE]
-            ids = np.array(self.merger.encode_ordinary(" " + " ".join(own)), np.uint32)
-            ends = np.cumsum([len(p.encode()) + 1 for p in own])
+            ids = np.array(self.merger.encode_ordinary((b" " + b" ".join(own)).decode()), np.uint32)
+            ends = np.cumsum(np.fromiter(map(len, own), np.int64, len(own)) + 1)
             reached = np.cumsum(self.bytes[ids])
             last = np.searchsorted(reached, ends)
             if last[-1] >= len(ids) or (reached[last] != ends).any():  # never seen; a token would span a blank
-                each = self.direct([" " + p for p in own])
+                each = self.direct([b" " + p for p in own])
                 ids, last = np.concatenate(each), np.cumsum([len(x) for x in each]) - 1
-            self.number.update(zip(own, range(len(self.number), len(self.number) + len(own)), strict=True))
-            self.flat = np.concatenate([self.flat, ids])
-            self.starts = np.concatenate([self.starts, self.starts[-1] + last + 1])
-
-    def encode(self, texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        """The ids of each text, and its terms."""
-        if len(self.number) > REMEMBERED:
-            self.forget()
-        number = self.number
-        split: list[list[str]] = []
-        odd: list[int] = []
-        fresh: set[str] = set()
-        for k, t in enumerate(texts):
-            own = t.split(" ")
-            # Odd: white space other than single blanks and line ends between other characters.
-            if t and (t.replace("\n", " ").split(" ") != t.split() or "\u180e" in t or max(map(len, own)) > LONGEST):
-                odd.append(k)
-                own = [""]
-            split.append(own)
-            fresh.update(set(own[1:]).difference(number))
-        self.learn(sorted(fresh))
-        pieces = [np.fromiter(map(number.__getitem__, own[1:]), np.int64, len(own) - 1) for own in split]
-        every = np.concatenate(pieces) if pieces else np.zeros(0, np.int64)
-        n = self.starts[every + 1] - self.starts[every]
-        before = np.cumsum(n) - n
-        joined = self.flat[np.arange(int(n.sum())) + np.repeat(self.starts[every] - before, n)]
-        ends = np.cumsum([0, *(len(p) for p in pieces)])
-        place = np.append(before, int(n.sum()))
-        first = self.direct([own[0] for own in split])
-        ids = [np.concatenate((f, joined[place[a] : place[b]])) for f, a, b in zip(first, ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
-        for k in odd:
-            ids[k] = self.direct([texts[k]])[0]
-        return ids, [self.terms.of(t) for t in texts]
-
-
-class Terms:
-    """A document's terms: 64-bit hashes of all its words, the same in every task
-    whatever it has read before. What is remembered saves time only."""
+            out.append((ids, np.diff(last, prepend=-1)))
+        return out
 
-    def __init__(self):
-        self.known: dict[str, int] = {}
-
-    def of(self, text: str) -> np.ndarray:
-        if len(self.known) > REMEMBERED:
-            self.known = {}
-        words, known = text.split(), self.known
-        for w in set(words).difference(known):
-            known[w] = int.from_bytes(hashlib.blake2b(w.encode(errors="surrogatepass"), digest_size=8).digest(), "little", signed=True)
-        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-
-
-class Index:
-    """BM25 over documents in memory: an inverted index from terms to (document, weight)."""
-
-    def __init__(self, terms: list[np.ndarray]):
-        n = len(terms)
-        lengths = np.array([len(t) for t in terms], np.float64)
-        flat = np.concatenate(terms) if terms else np.zeros(0, np.int64)
-        _, local = np.unique(flat, return_inverse=True)
-        n_terms = int(local.max()) + 1 if len(local) else 0
-        pairs, tf = np.unique(local * n + np.repeat(np.arange(n), lengths.astype(np.int64)), return_counts=True)
-        term, self.doc = pairs // n, pairs % n
-        df = np.bincount(term, minlength=n_terms)
-        idf = np.log((n - df + 0.5) / (df + 0.5))
-        norm = K1 * (1 - B + B * lengths / max(1.0, lengths.mean() if n else 1.0))
-        self.weight = idf[term] * tf * (K1 + 1) / (tf + norm[self.doc])
-        self.first = np.concatenate(([0], np.cumsum(df)))
-        # A term of one document finds no neighbour; one of half the documents or more weighs nothing.
-        useful = np.flatnonzero((df > 1) & (idf > 0))
-        keep = np.zeros(n_terms, bool)
-        keep[useful] = True
-        own = keep[term]
-        order = np.argsort(self.doc[own], kind="stable")
-        self.terms = term[own][order]
-        self.begin = np.searchsorted(self.doc[own][order], np.arange(n + 1))
-        self.n = n
-
-    def neighbours(self, seed: int, free: np.ndarray) -> np.ndarray:
-        """Free documents that share a weighing term with the seed, best first."""
-        terms = self.terms[self.begin[seed] : self.begin[seed + 1]]
-        if not len(terms):
-            return terms
-        n = self.first[terms + 1] - self.first[terms]
-        rows = np.arange(int(n.sum())) + np.repeat(self.first[terms] - (np.cumsum(n) - n), n)
-        score = np.bincount(self.doc[rows], self.weight[rows], self.n)
-        score[~free] = 0
-        found = np.flatnonzero(score)
-        return found[np.argsort(-score[found], kind="stable")]
-
-
-class Packer:
-    """Fills windows, one stream of documents after the other. Every id is in one piece."""
-
-    def __init__(self, lengths, window: int = WINDOW):
-        self.lengths, self.window = lengths, window
-        self.free, self.left = np.ones(len(lengths), bool), len(lengths)
-        self.sequences: list[list[tuple[int, int, int]]] = []
-        #: Open windows: those whose last document asks again, and those that no neighbour is left for.
-        self.waiting: list[list[tuple[int, int, int]]] = []
-        self.ended: list[list[tuple[int, int, int]]] = []
-        self.open([])
-
-    def open(self, now: list[tuple[int, int, int]]) -> None:
-        self.now, self.room = now, self.window - sum(n for _, _, n in now)
-
-    def put(self, doc: int, start: int, end: int) -> None:
-        self.left -= int(self.free[doc])
-        self.free[doc] = False
+    def encode(self, raw: list[bytes]) -> list[np.ndarray]:
+        """The ids of each text."""
+        odd = irregular(raw) if self.merger is not None else np.ones(len(raw), bool)
+        whole = np.flatnonzero(odd).tolist()
+        own = [k for k in np.flatnonzero(~odd).tolist() if raw[k]]
+        out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(raw)
+        if own:
+            flat = b" ".join([raw[k] for k in own])
+            buffer = np.frombuffer(flat, np.uint8)
+            blanks = np.flatnonzero(buffer == 32)
+            starts, ends = np.append(0, blanks + 1), np.append(blanks, len(flat))
+            begin = np.searchsorted(starts, np.cumsum([0, *(len(raw[k]) + 1 for k in own)]))  # pieces before each text
+            h = self.hasher(buffer, starts, ends)
+            h[begin[:-1]] = ~h[begin[:-1]]  # no blank comes before it
+            _, place, which = np.unique(h, return_index=True, return_inverse=True)
+            if not self.agree(flat, starts, ends, place[which]):
+                whole, own = list(range(len(raw))), []
+        if own:
+            leads = np.zeros(len(starts), bool)
+            leads[begin[:-1]] = True
+            order = np.argsort(leads[place], kind="stable")  # those with a blank before them first
+            pieces = [flat[a:b] for a, b in zip(starts[place[order]].tolist(), ends[place[order]].tolist(), strict=True)]
+            n_after = len(pieces) - int(leads[place].sum())
+            found = self.follow(pieces[:n_after])
+            for p in pieces[n_after:]:
+                ids = np.array(self.merger.encode_ordinary(p.decode()), np.uint32)
+                found.append((ids, np.array([len(ids)])))
+            sizes = np.empty(len(place), np.int64)
+            sizes[order] = np.concatenate([n for _, n in found])
+            first = np.empty(len(place), np.int64)
+            first[order] = np.cumsum(sizes[order]) - sizes[order]
+            first, n = first[which], sizes[which]
+            before = np.cumsum(n) - n
+            joined = np.concatenate([i for i, _ in found])[np.arange(int(n.sum())) + np.repeat(first - before, n)]
+            for k, x in zip(own, np.split(joined, before[begin[1:-1]]), strict=True):
+                out[k] = x
+        for k, x in zip(whole, self.direct([raw[k] for k in whole]), strict=True):
+            out[k] = x
+        return out
+
+    @staticmethod
+    def agree(flat: bytes, starts: np.ndarray, ends: np.ndarray, like: np.ndarray) -> bool:
+        """Whether each piece has the length and the first and last eight bytes of the one it is taken for."""
+        eight = np.ndarray(len(flat) + 9, "<u8", bytes(8) + flat + bytes(8), strides=(1,))
+        n = ends - starts
+        keep = np.array([(1 << 8 * k) - 1 for k in range(8)] + [(1 << 64) - 1], _U64)[np.minimum(n, 8)]
+        head, tail = eight[starts + 8] & keep, np.where(n >= 8, eight[ends], _U64(0))
+        return bool((n == n[like]).all() and (head == head[like]).all() and (tail == tail[like]).all())
+
+
+class Weights:
+    """What BM25 needs of the whole corpus."""
+
+    def __init__(self, documents: int, words: int, df: np.ndarray):
+        self.mean = max(1.0, words / max(1, documents))
+        #: A slot of half the documents or more weighs nothing.
+        self.idf = np.maximum(0, np.log((documents - df + 0.5) / (df + 0.5))).astype(np.float32)
+
+    def of(self, slot: np.ndarray, tf: np.ndarray, length: np.ndarray) -> np.ndarray:
+        return self.idf[slot] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / self.mean))
+
+
+def slot(h: np.ndarray) -> np.ndarray:
+    return (h >> _U64(64 - SLOTS.bit_length() + 1)).astype(np.int64)
+
+
+def counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values in order, and how often each occurs."""
+    keys = np.sort(keys)
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], np.diff(first, append=len(keys))
+
+
+def scores(row: np.ndarray, h: np.ndarray, n: int, weights: Weights) -> np.ndarray:
+    """(n, n): what BM25 gives each document of a shard for the terms of each, itself 0.
+
+    An inverted index from terms to documents; the lists of frequent terms are
+    dense rows, so that their part is a matrix product.
+    """
+    low = _U64((1 << max(1, (n - 1).bit_length())) - 1)
+    keys, tf = counted((h & ~low) | row.astype(_U64))  # the upper bits tell terms apart
+    doc, keys = (keys & low).astype(np.int64), keys & ~low
+    term = np.cumsum(np.concatenate(([False], keys[1:] != keys[:-1]))) if len(keys) else doc
+    weight = weights.of(slot(keys), tf, np.bincount(row, minlength=n)[doc]).astype(np.float32)
+    df = np.bincount(term)
+    keep = (df[term] > 1) & (weight > 0)  # a term of one document finds no neighbour
+    term, doc, weight = term[keep], doc[keep], weight[keep]
+    df = np.bincount(term)
+    heavy = np.flatnonzero(df > DENSE_SHARE * n)
+    heavy = heavy[np.argsort(-df[heavy], kind="stable")[:DENSE_TERMS]]
+    place = np.full(len(df), -1)
+    place[heavy] = np.arange(len(heavy))
+    own = place[term] >= 0
+    dense = np.zeros((len(heavy), n), np.float32)
+    dense[place[term[own]], doc[own]] = weight[own]
+    out = (dense > 0).astype(np.float32).T @ dense
+    term, doc, weight = term[~own], doc[~own], weight[~own]
+    first = np.searchsorted(term, term)  # of its list
+    size = np.searchsorted(term, term, side="right") - first
+    done = np.cumsum(size)
+    flat, at = out.reshape(-1), 0
+    while at < len(term):
+        end = max(at + 1, int(np.searchsorted(done, (done[at - 1] if at else 0) + SCORED, side="right")))
+        s, f = size[at:end], first[at:end]
+        hits = np.arange(int(s.sum())) + np.repeat(f - (np.cumsum(s) - s), s)
+        flat += np.bincount(np.repeat(doc[at:end], s) * n + doc[hits], weight[hits], n * n).astype(np.float32)
+        at = end
+    np.fill_diagonal(out, 0)
+    return out
+
+
+def pack_shard(lengths: list[int], near: np.ndarray, window: int = WINDOW) -> list[list[tuple[int, int, int]]]:
+    """Sequences of pieces (document, first id, ids). ``near`` has a row of scores for each
+    document; of equal scores the first document is taken, and one of 0 is no neighbour."""
+    free = np.ones(len(lengths), near.dtype)
+    sequences: list[list[tuple[int, int, int]]] = []
+    now: list[tuple[int, int, int]] = []
+    room = window
+
+    def put(doc: int) -> None:
+        nonlocal now, room
+        free[doc] = 0
+        start, end = 0, lengths[doc]
         while start < end:
-            n = min(self.room, end - start)
-            self.now.append((doc, start, n))
-            start += n
-            self.room -= n
-            if not self.room:
-                self.sequences.append(self.now)
-                self.open([])
-
-    def fill(self, near: Callable[[int], tuple[np.ndarray, bool]]) -> bool:
-        """Neighbours into the open window and those after it; whether its last document must ask again."""
-        while self.room < self.window:  # a window is open; its last document seeds it
-            closed = len(self.sequences)
-            found, whole = near(self.now[-1][0])
-            for doc in found[self.free[found]].tolist():
-                self.put(doc, 0, int(self.lengths[doc]))
-                if len(self.sequences) > closed:
+            n = min(room, end - start)
+            now.append((doc, start, n))
+            start, room = start + n, room - n
+            if not room:
+                sequences.append(now)
+                now, room = [], window
+
+    for seed in range(len(lengths)):
+        if not free[seed]:
+            continue
+        put(seed)
+        while now:  # a window is open; its last document seeds it
+            closed, found = len(sequences), near[now[-1][0]]
+            while len(sequences) == closed:
+                left = found * free
+                best = int(left.argmax())
+                if not left[best] > 0:
                     break
+                put(best)
             else:
-                return not whole
-        return False
-
-    def round(self, near: Callable[[int], tuple[np.ndarray, bool]]) -> None:
-        """As far as the lists go. ``near`` tells a document's neighbours, best first,
-        and whether these are all."""
-        waiting, self.waiting = self.waiting, []
-        for now in waiting:
-            self.open(now)
-            again = self.fill(near)
-            if self.now:
-                (self.waiting if again else self.ended).append(self.now)
-        self.open([])
-        for seed in range(len(self.lengths)):
-            if not self.free[seed]:
                 continue
-            found, whole = near(seed)
-            if not self.now and not whole and not self.free[found].any():
-                continue  # its list is used up; it stays a neighbour for others and asks again
-            self.put(seed, 0, int(self.lengths[seed]))
-            if self.fill(near):
-                self.waiting.append(self.now)
-                self.open([])
-                if OPEN * len(self.waiting) > self.left:
-                    break
-        if self.now:
-            self.ended.append(self.now)
-
-    def finish(self) -> list[list[tuple[int, int, int]]]:
-        """All sequences, once every document is used."""
-        rest = [*self.ended, *self.waiting]
-        self.open([])
-        for now in rest:
-            for doc, start, n in now:
-                self.put(doc, start, start + n)
-        return self.sequences + (powers(self.now) if self.now else [])
-
-
-def pack_shard(lengths: list[int], index: Index, window: int = WINDOW) -> list[list[tuple[int, int, int]]]:
-    """Sequences of pieces (document, first id, ids), all in memory."""
-    packer = Packer(lengths, window)
-    packer.round(lambda doc: (index.neighbours(doc, packer.free), True))
-    return packer.finish()
+            break  # no neighbour is left; the next unused document goes on
+    return sequences + (powers(now) if now else [])
 
 
 def powers(pieces: list[tuple[int, int, int]]) -> list[list[tuple[int, int, int]]]:
@@ -318,239 +374,141 @@ def powers(pieces: list[tuple[int, int, int]]) -> list[list[tuple[int, int, int]
     return out
 
 
-def encoded(docs: DataFrame, tokenizer_path: str, key: str, text: str) -> DataFrame:
-    """Key, place (partition, number in it) in the order of key and text, ids, number of
-    words, and the distinct terms with their counts."""
-    small_batches(docs.sparkSession)
-    rows = docs.select(F.col(f"`{key}`").alias("key"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
-    kinds = T.StructType([T.StructField("key", docs.schema[key].dataType), *(T.StructField(n, T.LongType()) for n in ("p", "k", "words")), T.StructField("ids", T.BinaryType()), T.StructField("terms", T.ArrayType(T.LongType())), T.StructField("tfs", T.ArrayType(T.IntegerType()))])
-
-    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]]]:
-        keys, held, size = [], [], 0
-        for b in batches:
-            for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                keys.append(k)
-                held.append(t)
-                size += len(t)
-                if len(held) >= RUN_DOCS or size >= RUN_BYTES:
-                    yield keys, held
-                    keys, held, size = [], [], 0
-        if held:
-            yield keys, held
+def corpus_weights(rows: DataFrame) -> tuple[Weights, int, int]:
+    """The corpus's weights, its number of documents and its bytes of text, from one
+    narrow pass: a task sends a row for each slot it has met at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-        from pyspark.sql.pandas.types import to_arrow_schema
-
-        encoder, p, done = Encoder(tokenizer_path), TaskContext.get().partitionId(), 0
-        for keys, held in runs(batches):
-            ids, terms = encoder.encode(held)
-            own = [np.unique(t, return_counts=True) for t in terms]
-            columns = [keys, [p] * len(keys), list(range(done, done + len(keys))), [len(t) for t in terms], [np.append(i, END).astype("<u4").tobytes() for i in ids], [t for t, _ in own], [n for _, n in own]]
-            done += len(keys)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, to_arrow_schema(kinds), strict=True)], kinds.names)
-
-    return rows.repartitionByRange("key", "text").sortWithinPartitions("key", "text").mapInArrow(run, kinds)
-
-
-def weighed(rows: DataFrame, n: int, mean: float) -> DataFrame:
-    """Place of every document, its weighing terms (numbered over all rows) and their weights."""
-    count = rows.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").alias("df"))
-    # A term of one document finds no neighbour; one of half of them or more weighs nothing.
-    idf = count.where("df > 1").select("t", F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf")).where("idf > 0").toArrow()
-    order = np.argsort(idf["t"].to_numpy())
-    sent = rows.sparkSession.sparkContext.broadcast((idf["t"].to_numpy()[order], idf["idf"].to_numpy()[order]))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, idf = sent.value
+        hasher, df, sums = Hasher(), np.zeros(SLOTS, np.int64), np.zeros(3, np.int64)
         for b in batches:
-            (flat, row), tf = lists(b.column(3)), lists(b.column(4))[0]
-            at = np.minimum(np.searchsorted(known, flat), max(0, len(known) - 1))
-            met = known[at] == flat if len(known) else np.zeros(len(flat), bool)
-            at, row, tf = at[met], row[met], tf[met]
-            weight = idf[at] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * b.column(2).to_numpy()[row] / max(1.0, mean)))
-            begin = pa.array(np.searchsorted(row, np.arange(b.num_rows + 1)), pa.int32())
-            t, w = (pa.ListArray.from_arrays(begin, pa.array(x, kind)) for x, kind in ((at, pa.int32()), (weight, pa.float32())))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), t, w], ["p", "k", "t", "w"])
-
-    return rows.select("p", "k", "words", "terms", "tfs").mapInArrow(run, "p long, k long, t array<int>, w array<float>")
-
-
-def blocks(sizes: np.ndarray, chosen: np.ndarray, limit: int) -> tuple[np.ndarray, int]:
-    """Each chosen document's block of about ``limit`` postings, -1 for the others; how many blocks."""
-    own = np.where(chosen & (sizes > 0), sizes, 0)
-    out = np.where(own > 0, (np.cumsum(own) - own) // limit, -1)
-    return out, int(out.max(initial=-1)) + 1
-
-
-def lists(values: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """All values of a list column, and the row of each."""
-    values = values.combine_chunks() if isinstance(values, pa.ChunkedArray) else values
-    sizes = values.value_lengths().to_numpy(zero_copy_only=False)
-    return values.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(sizes)), sizes)
-
-
-class Block:
-    """Some of the corpus's documents, to be asked by any. Terms of many of them are
-    dense rows, so that their part of the scores is a matrix product."""
-
-    def __init__(self, numbers: np.ndarray, terms: np.ndarray, weights: np.ndarray, doc: np.ndarray):
-        self.numbers = numbers
-        self.known, term = np.unique(terms, return_inverse=True)
-        df = np.bincount(term, minlength=len(self.known))
-        heavy = np.argsort(-df, kind="stable")[:DENSE_TERMS]
-        heavy = heavy[df[heavy] > DENSE_SHARE * len(numbers)]
-        self.place = np.full(len(self.known), -1, np.int32)
-        self.place[heavy] = np.arange(len(heavy))
-        own = self.place[term] >= 0
-        self.heavy = self.place[term[own]], doc[own].astype(np.int32), weights[own]
-        order = np.flatnonzero(~own)[np.argsort(term[~own], kind="stable")]
-        self.doc, self.weight = doc[order].astype(np.int32), weights[order]
-        self.first = np.concatenate(([0], np.cumsum(np.where(self.place >= 0, 0, df))))
-
-    @functools.cached_property
-    def dense(self) -> np.ndarray:
-        row, doc, weight = self.heavy
-        out = np.zeros((int(self.place.max(initial=-1)) + 1, len(self.numbers)), np.float32)
-        out[row, doc] = weight
-        return out
-
-    def best(self, who: np.ndarray, terms: np.ndarray, row: np.ndarray, asked: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """For each document of ``who``, whose terms have its place in ``row``: numbers and
-        scores of its best ones here but itself, of equals the first."""
-        n = len(self.numbers)
-        at = np.minimum(np.searchsorted(self.known, terms), len(self.known) - 1)
-        met = self.known[at] == terms
-        at, row = at[met], row[met]
-        begin = np.searchsorted(row, np.arange(len(who) + 1))
-        for low in range(0, len(who), SCORED):
-            high = min(low + SCORED, len(who))
-            own, own_row = self.place[at[begin[low] : begin[high]]], row[begin[low] : begin[high]] - low
-            wanted = np.zeros((high - low, len(self.dense)), np.float32)
-            wanted[own_row[own >= 0], own[own >= 0]] = 1
-            score = wanted @ self.dense
-            for k in range(low, high):
-                mine = at[begin[k] : begin[k + 1]]
-                mine = mine[self.place[mine] < 0]
-                size = self.first[mine + 1] - self.first[mine]
-                hits = np.arange(int(size.sum())) + np.repeat(self.first[mine] - (np.cumsum(size) - size), size)
-                s = score[k - low]
-                s += np.bincount(self.doc[hits], self.weight[hits], n).astype(np.float32)
-                itself = np.searchsorted(self.numbers, who[k])
-                if itself < n and self.numbers[itself] == who[k]:
-                    s[itself] = 0
-                found = np.flatnonzero(s >= np.partition(s, n - asked)[n - asked]) if n > asked else np.arange(n)
-                found = found[s[found] > 0]
-                found = found[np.argsort(-s[found], kind="stable")][:asked]
-                yield self.numbers[found], s[found]
-
-
-POSTS = "row long, t array<int>, w array<float>"
-
-
-def chosen_posts(posts: DataFrame, before: np.ndarray, chosen: np.ndarray) -> DataFrame:
-    """Numbers, terms and weights of the chosen documents."""
+            for part in slices(b, "text"):
+                raw = part.column(part.schema.get_field_index("text")).to_pylist()
+                row, h = words_of(raw, hasher)
+                df += np.bincount(counted(row * SLOTS + slot(h))[0] % SLOTS, minlength=SLOTS)
+                sums += [len(raw), len(row), sum(map(len, raw))]
+        met = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((met, [-1, -2, -3]))), pa.array(np.concatenate((df[met], sums)))], ["slot", "n"])
+
+    found = rows.select("text").mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    at, n = found["slot"].to_numpy(), found["n"].to_numpy()
+    df = np.zeros(SLOTS, np.int64)
+    df[at[at >= 0]] = n[at >= 0]
+    documents, words, size = (int(n[at == -k].sum()) for k in (1, 2, 3))
+    return Weights(documents, words, df), documents, size
+
+
+def places(raw: list[bytes], ties: np.ndarray, weights: Weights, hasher: Hasher, drawn: np.ndarray) -> np.ndarray:
+    """Each document's place on the line: 16 bits each of the words that win ``PLACES``
+    draws weighted by BM25, and 16 bits of ``ties``."""
+    row, h = words_of(raw, hasher)
+    lengths = np.bincount(row, minlength=len(raw))
+    pairs, tf = counted(row * SLOTS + slot(h))
+    doc, term = pairs // SLOTS, pairs % SLOTS
+    weight = weights.of(term, tf, lengths[doc])
+    doc, term, weight = doc[weight > 0], term[weight > 0], weight[weight > 0]
+    begin = np.flatnonzero(np.diff(doc, prepend=-1))
+    out = np.zeros((len(raw), PLACES + 1), np.uint16)
+    for k in range(PLACES):
+        wait = drawn[k, term] / weight
+        least = np.minimum.reduceat(wait, begin) if len(begin) else wait
+        won = np.flatnonzero(wait == np.repeat(least, np.diff(begin, append=len(wait))))
+        own, at = np.unique(doc[won], return_index=True)
+        out[own, k] = mixed(term[won[at]].astype(_U64) + _U64(1)) & _U64(0xFFFF)
+    out[:, PLACES] = ties & 0xFFFF
+    return out.astype(_U64) @ np.array([1 << 16 * (PLACES - k) for k in range(PLACES + 1)], _U64)
+
+
+def placed(rows: DataFrame, weights: Weights, cuts: np.ndarray | None) -> DataFrame:
+    """Key, text, tie, place and partition of each row; without ``cuts`` place alone."""
+    sent = rows.sparkSession.sparkContext.broadcast((weights, cuts))
+    kinds = T.StructType([rows.schema["key"], rows.schema["text"], T.StructField("place", T.LongType()), T.StructField("part", T.IntegerType())][0 if cuts is not None else 2 : 4 if cuts is not None else 3])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights, cuts = sent.value
+        hasher, drawn = Hasher(), np.random.default_rng(SEED + 1).exponential(size=(PLACES, SLOTS)).astype(np.float32)
         for b in batches:
-            row = before[b.column(0).to_numpy()] + b.column(1).to_numpy()
-            own = pa.array(np.flatnonzero(chosen[row]))
-            yield pa.RecordBatch.from_arrays([pa.array(row, pa.int64()).take(own), b.column(2).take(own), b.column(3).take(own)], ["row", "t", "w"])
-
-    return posts.select("p", "k", "t", "w").mapInArrow(run, POSTS)
-
-
-def neighbour_lists(shelf: Shelf, posts: DataFrame, before: np.ndarray, sizes: np.ndarray, free: np.ndarray, asks: np.ndarray, asked: int) -> pa.Table:
-    """(row, near): of each document that asks its best free ones, at most ``asked``.
-
-    One narrow pass for each block of the index, which is sent to all tasks.
-    """
-    block, n_blocks = blocks(sizes, free, INDEX_POSTINGS)
-    passes = []
-    for k in range(n_blocks):
-        held = chosen_posts(posts, before, block == k).toArrow().sort_by("row")
-        (terms, doc), weights = lists(held["t"]), lists(held["w"])[0]
-        sent = posts.sparkSession.sparkContext.broadcast(Block(held["row"].to_numpy(), terms, weights, doc))
-        del held, terms, doc, weights
-
-        def ask(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                found = list(sent.value.best(b.column(0).to_numpy(), *lists(b.column(1)), asked))
-                if found:
-                    near, scores = (np.concatenate(x) for x in zip(*found, strict=True))
-                    ends = np.cumsum([0, *(len(x) for x, _ in found)])
-                    best = pa.StructArray.from_arrays([pa.array(-scores, pa.float32()), pa.array(near, pa.int32())], ["less", "near"])
-                    yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), best)], ["row", "found"])
-
-        passes.append(shelf.put(chosen_posts(posts, before, asks).select("row", "t").mapInArrow(ask, "row long, found array<struct<less:float,near:int>>"), f"pass-{k}"))
-        sent.destroy()
-    if not passes:
-        return pa.table({"row": pa.array([], pa.int64()), "near": pa.array([], pa.list_(pa.int32()))})
-    merged = functools.reduce(DataFrame.union, passes).groupBy("row").agg(F.array_sort(F.flatten(F.collect_list("found"))).alias("found"))
-    out = merged.select("row", F.slice("found", 1, asked)["near"].alias("near")).toArrow()
-    for k in range(n_blocks):
-        shelf.drop(f"pass-{k}")
-    return out
-
-
-def planned(shelf: Shelf, rows: DataFrame, before: np.ndarray, lengths: np.ndarray, mean: float, window: int) -> list[list[tuple[int, int, int]]]:
-    """The sequences of all rows."""
-    packer = Packer(lengths, window)
-    posts = shelf.put(weighed(rows, len(lengths), mean), "posts")
-    held = posts.select("p", "k", F.size("t").alias("n")).toArrow()
-    sizes = np.zeros(len(lengths), np.int64)
-    sizes[before[held["p"].to_numpy()] + held["k"].to_numpy()] = held["n"].to_numpy()
-    while packer.free.any():
-        asks = packer.free.copy()
-        asks[[now[-1][0] for now in packer.waiting]] = True
-        found = neighbour_lists(shelf, posts, before, sizes, packer.free.copy(), asks, ASKED)
-        near, row = lists(found["near"])
-        begin = np.zeros(len(lengths) + 1, np.int64)
-        np.add.at(begin, found["row"].to_numpy() + 1, np.bincount(row, minlength=found.num_rows).astype(np.int64))
-        begin = np.cumsum(begin)
-        near = near[np.argsort(found["row"].to_numpy()[row], kind="stable")]
-        packer.round(lambda doc, near=near, begin=begin: (near[begin[doc] : begin[doc + 1]], begin[doc + 1] - begin[doc] < ASKED))
-    shelf.drop("posts")
-    return packer.finish()
+            for part in slices(b, "text"):
+                raw = part.column(1).to_pylist()
+                place = places(raw, part.column(2).to_numpy(), weights, hasher, drawn)
+                # The order of unsigned places, as signed ones.
+                columns = [pa.array((place ^ _U64(1 << 63)).view(np.int64))]
+                if cuts is not None:
+                    columns = [part.column(0), part.column(1), *columns, pa.array(np.searchsorted(cuts, place, side="right").astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, kinds.names)
+
+    return rows.select("key", "text", "tie").mapInArrow(run, kinds)
+
+
+def cut_places(rows: DataFrame, weights: Weights, documents: int, size: int) -> np.ndarray:
+    """Where the line is cut into partitions: quantiles of a sample of the documents by
+    a hash of key and text, about ``SAMPLED`` for each partition."""
+    n = min(MOST_PARTS, -(-size // PART_BYTES))
+    if n < 2:
+        return np.zeros(0, _U64)
+    rate = min(1.0, SAMPLED * n / documents)
+    some = rows.where(F.pmod(F.shiftright("tie", 20), F.lit(1 << 30)) < int(rate * (1 << 30)))
+    found = placed(some, weights, None).groupBy("place").agg(F.count("*").alias("n")).toArrow().sort_by("place")
+    place, count = found["place"].to_numpy().view(_U64) ^ _U64(1 << 63), np.cumsum(found["n"].to_numpy())
+    if not len(place):
+        return np.zeros(0, _U64)
+    return np.unique(place[np.searchsorted(count, np.arange(1, n) * count[-1] / n)])
 
 
 def pack(docs: DataFrame, tokenizer_path: str, *, key: str = "doc_id", text: str = "text", window: int = WINDOW, with_ids: bool = False) -> DataFrame:
     """One row for each piece: key, start, length, ids_crc32, doc_tokens, sequence_id,
     offset, and the ids themselves if asked for.
 
-    Null texts are empty and hold the end id alone. Repeated rows are packed
-    each. sequence_id is unique; offsets are gapless. A very long text fills as
-    many windows as it needs. An empty table has no rows.
+    Null texts are empty and hold the end id alone; texts without words are
+    no one's neighbours and are taken in their order. Null keys are kept. Repeated
+    rows are packed each. sequence_id is unique (partition and number); offsets
+    are gapless. A very long text fills as many windows as it needs. An empty
+    table has no rows.
     """
+    small_batches(docs.sparkSession)
     names = [key, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * with_ids
-    fields = [docs.schema[key], *(T.StructField(n, T.LongType()) for n in names[1:7])] + [T.StructField("ids", T.ArrayType(T.LongType()))] * with_ids
-    shelf = Shelf(docs.sparkSession)
-    rows = shelf.put(encoded(docs, tokenizer_path, key, text), "encoded")
-    counts = {r.p: r.n for r in rows.groupBy("p").agg(F.count("*").alias("n")).collect()}
-    before = np.cumsum([0, *(counts.get(p, 0) for p in range(max(counts, default=0) + 1))])
-    held = rows.select("p", "k", (F.length("ids") / 4).cast("long").alias("n"), "words").toArrow()
-    lengths = np.zeros(int(before[-1]), np.int64)
-    lengths[before[held["p"].to_numpy()] + held["k"].to_numpy()] = held["n"].to_numpy()
-    mean = float(held["words"].to_numpy().sum()) / max(1, len(lengths))
-    pieces = np.array([(doc, start, n, s, offset) for s, own in enumerate(planned(shelf, rows, before, lengths, mean, window)) for (doc, start, n), offset in zip(own, np.cumsum([0, *(n for _, _, n in own)]).tolist(), strict=False)], np.int64).reshape(-1, 5)
-    pieces = pieces[np.lexsort((pieces[:, 1], pieces[:, 0]))]
-    first = np.searchsorted(pieces[:, 0], np.arange(len(lengths) + 1))
+    kinds = T.StructType([docs.schema[key], *(T.StructField(n, T.LongType()) for n in names[1:7])] + [T.StructField("ids", T.ArrayType(T.LongType()))] * with_ids)
+    rows = docs.select(F.col(f"`{key}`").alias("key"), F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary").alias("text"))
+    rows = rows.withColumn("tie", F.xxhash64(F.lit(SEED), "key", "text"))
+    weights, documents, size = corpus_weights(rows)
+    cuts = cut_places(rows, weights, documents, size)
+    dealt = placed(rows, weights, cuts).repartitionById(len(cuts) + 1, F.col("part")).sortWithinPartitions("place", "key", "text")
+    sent = docs.sparkSession.sparkContext.broadcast(weights)
+
+    def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[bytes]]]:
+        keys, held, size = [], [], 0
+        for b in batches:
+            for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if held and (len(held) >= SHARD_DOCS or size + len(t) > SHARD_BYTES):
+                    yield keys, held
+                    keys, held, size = [], [], 0
+                keys.append(k)
+                held.append(t)
+                size += len(t)
+        if held:
+            yield keys, held
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        for b in batches:
+        arrow = [f.type for f in to_arrow_schema(kinds)]
+        encoder, sequence = Encoder(tokenizer_path), TaskContext.get().partitionId() << 40
+        for keys, raw in shards(batches):
+            ids = [np.append(i, END).astype("<u4") for i in encoder.encode(raw)]
+            near = scores(*words_of(raw, encoder.hasher), len(raw), sent.value)
             out: list[list] = [[] for _ in names]
-            for own, p, k, raw in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                doc, ids = before[p] + k, np.frombuffer(raw, "<u4")
-                for _, start, n, s, offset in pieces[first[doc] : first[doc + 1]].tolist():
-                    piece = ids[start : start + n]
-                    row = (own, start, n, zlib.crc32(piece.tobytes()), len(ids), s, offset)
+            for own in pack_shard([len(i) for i in ids], near, window):
+                offset = 0
+                for doc, start, n in own:
+                    piece = ids[doc][start : start + n]
+                    row = (keys[doc], start, n, zlib.crc32(piece.tobytes()), len(ids[doc]), sequence, offset)
                     for c, v in zip(out, row if not with_ids else (*row, piece.tolist()), strict=True):
                         c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(out, to_arrow_schema(T.StructType(fields)), strict=True)], names)
+                    offset += n
+                sequence += 1
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, arrow, strict=True)], names)
 
-    return rows.select("key", "p", "k", "ids").mapInArrow(run, T.StructType(fields))
+    return dealt.select("key", "text").mapInArrow(run, kinds)
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
