@@ -41,13 +41,14 @@ def small_batches(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below ``spark.checkpoint.dir``, which all executors see.
 
-    Only where the session names none (tests on one machine) a temporary
-    folder of this machine is set.
+    Only on one machine (a local master) may the session name none; then it is a
+    temporary folder.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='strandloom-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = f"file://{tempfile.gettempdir()}"
     return f"{base.rstrip('/')}/strandloom-{uuid.uuid4().hex}"
 
 
@@ -79,16 +80,18 @@ def append_columns(
     fields: Sequence[T.StructField],
     make: Callable[[], Callable[[pa.RecordBatch], list]],
     keep: Sequence[str],
+    read: Sequence[str] = (),
 ) -> DataFrame:
-    """``df``'s columns ``keep`` and new ones that Python makes from slices of rows.
+    """``df``'s columns ``keep`` and new ones that Python makes from slices of rows,
+    which also hold the columns ``read``.
 
     ``make`` runs once in each task and returns the function that turns a slice
     of at most ``SLICE_BYTES`` of text into one array for each of ``fields``.
-    A new column replaces a kept one of its name, as ``withColumn`` does.
+    A new column replaces kept ones of its name in any case, as ``withColumn`` does.
     Narrow: one row out for each row in, no shuffle, memory bounded by a slice.
     """
     small_batches(df.sparkSession)
-    keep = [k for k in keep if k not in {f.name for f in fields}]
+    keep = others(keep, [f.name for f in fields])
     names = [*keep, *(f.name for f in fields)]
     kinds = [f.dataType for f in fields]
 
@@ -98,13 +101,20 @@ def append_columns(
         arrow = [to_arrow_type(k) for k in kinds]
         work = make()
         for batch in batches:
-            for part in slices(batch, text):
+            for part in slices(batch.rename_columns(wanted), text):
                 new = [a if isinstance(a, pa.Array) else pa.array(a, k) for a, k in zip(work(part), arrow, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index(k)) for k in keep] + new, names)
 
-    wanted = list(dict.fromkeys([*keep, text]))
+    wanted = list(dict.fromkeys([*keep, text, *read]))
     schema = T.StructType([*(df.schema[k] for k in keep), *fields])
-    return df.select(*(F.col(f"`{c}`") for c in wanted)).mapInArrow(run, schema)
+    # By number, as mapInArrow can't read a name with a dot.
+    return df.select(*(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(wanted))).mapInArrow(run, schema)
+
+
+def others(columns: Sequence[str], new: Sequence[str]) -> list[str]:
+    """``columns`` without those that one of ``new`` replaces; case doesn't tell names apart."""
+    taken = {n.lower() for n in new}
+    return [c for c in columns if c.lower() not in taken]
 
 
 def slices(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:

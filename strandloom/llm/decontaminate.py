@@ -9,8 +9,8 @@ located by walking to a sampled position, and their spans are merged.
 
 Nothing is shuffled. A phrase that a third of the documents share costs no more
 than its occurrences. The benchmark is taken in blocks of ``BLOCK_BYTES``, one
-narrow pass over the documents for each block, so what goes to the executors
-at once is bounded whatever the benchmark's size.
+narrow pass over the documents for each block, whose rows are written before the
+next; so driver, tasks and what goes to the executors hold one block at once.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import UPPER, append_columns, table, texts
+from .common import UPPER, Shelf, append_columns, others, table, texts
 
 WINDOW = 10
 #: Bytes of benchmark text that one pass over the documents takes.
@@ -226,48 +226,52 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", ite
 
     Adds n_words, hit_spans (merged, word positions, end exclusive) and hit_items
     (item ids as strings, distinct, unordered), each name after ``prefix``. ``keep``
-    names the columns to keep (all); a new column replaces one of its name.
+    names the columns to keep (all); a new column replaces those of its name in any case.
 
     A null or wordless text has no words, spans or items. Items without id or
     words are left out; repeated items count once. An empty benchmark hits
     nothing. Repeated documents each get their row. Very long texts are whole.
     """
-    new = [f"{prefix}{n}" for n in NEW]
-    keep = [c for c in (docs.columns if keep is None else keep) if c not in new]
-    bench = benchmark.where(F.col(item).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item).cast("string").alias("i"), F.col(item_text).alias("t"))
+    names = [f"{prefix}{n}" for n in NEW]
+    keep = others(docs.columns if keep is None else keep, names)
+    bench = benchmark.where(F.col(item).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item).cast("string").alias("i"), F.col(item_text).alias("t")).distinct()
     size = bench.agg(F.coalesce(F.sum(F.octet_length("t") + 16), F.lit(0))).first()[0]
     blocks = max(1, -(-int(size) // block_bytes))
-    found: list[tuple[str, str, str]] = []
+    shelf = Shelf(docs.sparkSession) if blocks > 1 else None
     out = docs
     for k in range(blocks):
-        part = bench.where(F.pmod(F.crc32(F.col("i").cast("binary")), F.lit(blocks)) == k)
+        part = bench.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k)
         phrases = Phrases([(r.i, r.t) for r in part.collect()], window)  # about block_bytes
-        names = [f"__leak{k}_{n}" for n in NEW]
-        held = list(dict.fromkeys([*keep, *(text for _ in range(k < blocks - 1)), *(n for own in found for n in own[1:])]))
-        out = one_pass(out, text, phrases, held, names)
-        found.append(tuple(names))
-    spans, items = F.col(found[0][1]), F.col(found[0][2])
-    if blocks > 1:
-        spans = F.udf(lambda *own: [{"start": b, "end": e} for b, e in merge([(r[0], r[1]) for o in own for r in o])], SPANS)(*(n[1] for n in found))
-        items = F.array_distinct(F.concat(*(n[2] for n in found)))
-    return out.select(*(F.col(f"`{c}`") for c in keep), F.col(found[-1][0]).alias(new[0]), spans.alias(new[1]), items.alias(new[2]))
-
-
-def one_pass(docs: DataFrame, text: str, phrases: Phrases, keep: list[str], names: list[str]) -> DataFrame:
+        last = k == blocks - 1
+        out = one_pass(out, text, phrases, keep if last else list(dict.fromkeys([*keep, text])), names, k > 0)
+        if not last:
+            out = shelf.put(out, f"block-{k}")
+            if k:
+                shelf.drop(f"block-{k - 1}")
+    return out
+
+
+def one_pass(docs: DataFrame, text: str, phrases: Phrases, keep: list[str], names: list[str], more: bool) -> DataFrame:
+    """``docs`` with the findings of one block; with ``more``, joined with those that it already has."""
+    held = [f"__held_{n}" for n in NEW]
+
     def make():
         def work(part: pa.RecordBatch) -> list:
             listed = [words(t) for t in texts(part, text)]
             spans, items = scan_shard(listed, phrases)
-            return [
-                [len(d) for d in listed],
-                [[{"start": b, "end": e} for b, e in s] for s in spans],
-                [[phrases.items[i] for i in s] for s in items],
-            ]
+            items = [[phrases.items[i] for i in s] for s in items]
+            if more:
+                _, before, known = (part.column(part.schema.get_field_index(n)).to_pylist() for n in held)
+                spans = [merge([(x["start"], x["end"]) for x in b] + s) for b, s in zip(before, spans, strict=True)]
+                items = [list(dict.fromkeys(k + i)) for k, i in zip(known, items, strict=True)]
+            return [[len(d) for d in listed], [[{"start": b, "end": e} for b, e in s] for s in spans], items]
 
         return work
 
     fields = [T.StructField(n, kind) for n, kind in zip(names, NEW.values(), strict=True)]
-    return append_columns(docs, text, fields, make, keep)
+    if more:
+        docs = docs.withColumnsRenamed(dict(zip(names, held, strict=True)))
+    return append_columns(docs, text, fields, make, keep, held if more else ())
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

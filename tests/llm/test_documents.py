@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strandloom.llm import decontaminate, exactdedup, langid, licenses, quality, secrets, sharding
+from strandloom.llm import bytecnn, decontaminate, exactdedup, langid, licenses, quality, secrets, sharding
 from strandloom.llm.bytecnn import averaged, chunked
 
 RNG = random.Random(4)
@@ -63,6 +63,18 @@ def test_leaks(spark, frame, block_bytes):
     assert decontaminate.find_leaks(frame(docs).limit(0), bench).isEmpty()
 
 
+def test_leaks_of_many_blocks_keep_clashing_columns_apart(spark):
+    bench = spark.createDataFrame([(k, prose(12)) for k in range(30)] + [(0, prose(12))], "item_id long, text string")
+    items = [(r.item_id, r.text) for r in bench.collect()]
+    rows = [(k, f"{prose(5)} {items[k % 31][1]} {items[(k * 7) % 31][1]}") for k in range(40)] + [(99, None)]
+    docs = spark.createDataFrame([(k, t, 1, 2, "x") for k, t in rows], "doc_id long, text string, N_Words long, HIT_SPANS long, `a.b` string").repartition(3)
+    found = decontaminate.find_leaks(docs, bench, block_bytes=500)
+    assert found.columns == ["doc_id", "text", "a.b", "n_words", "hit_spans", "hit_items"]
+    got = {r.doc_id: (r.n_words, sum(e - b for b, e in r.hit_spans), set(r.hit_items)) for r in found.collect()}
+    assert got == {k: brute_leaks(t, items) for k, t in rows}
+    assert decontaminate.find_leaks(docs, bench, keep=["doc_id"], block_bytes=500).columns == ["doc_id", "n_words", "hit_spans", "hit_items"]
+
+
 def test_index_is_exact():
     rng = np.random.default_rng(3)
     for n in (1, 2, 50, 400):
@@ -182,6 +194,59 @@ def corpus(n):
     return out
 
 
+def test_convolution_and_gradients(monkeypatch):
+    """Responses against loops over every place, gradients against differences of the loss."""
+    rng = np.random.default_rng(5)
+    monkeypatch.setattr(bytecnn, "BLOCK", 3)
+    net = bytecnn.ByteCNN(3, seed=2)
+    net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    net.p["bias"] = rng.normal(0, 0.5, bytecnn.FILTERS)
+    codes = rng.integers(0, 256, (7, 20)).astype(np.uint8)
+    want = np.full((7, bytecnn.FILTERS), -np.inf)
+    for n in range(7):
+        at = 0
+        for width, filters in bytecnn.WIDTHS:
+            for f in range(at, at + filters):
+                for p in range(20 - bytecnn.SPAN + 1):
+                    response = sum(float(net.p["emb"][codes[n, p + j]] @ net.p["conv"][j * bytecnn.DIM : (j + 1) * bytecnn.DIM, f]) for j in range(width))
+                    want[n, f] = max(want[n, f], response)
+            at += filters
+    assert np.allclose(net.features(codes), np.maximum(want + net.p["bias"], 0), atol=1e-6)
+
+    groups, labels = [codes[:2], codes[2:6], codes[6:]], np.array([0, 2, 1])
+
+    def loss():
+        feats = np.stack([net.features(g).mean(axis=0) for g in groups])
+        return -np.log(bytecnn.softmax(net.logits(feats))[np.arange(3), labels]).mean() + 0.5e-4 * (net.p["dense"] ** 2).sum()
+
+    grads = net._gradients(groups, labels)
+    for name, g in grads.items():
+        value = net.p[name].reshape(-1)
+        where = np.argsort(-np.abs(np.asarray(g).reshape(-1)))[:12]
+        for k in where.tolist():
+            old = value[k]
+            value[k] = old + 1e-5
+            high = loss()
+            value[k] = old - 1e-5
+            low = loss()
+            value[k] = old
+            assert abs((high - low) / 2e-5 - np.asarray(g).reshape(-1)[k]) < 1e-5, (name, k)
+
+
+def test_samples_hold_whole_texts(spark):
+    rows = [(k % 40, f"l{k % 3}", "é" * k) for k in range(300)]
+    df = spark.createDataFrame(rows, "k long, y string, t string").repartition(5)
+    drawn = langid.bounded_sample(df, "y", ["k", "t"], 20).collect()
+    assert {y: sum(r.y == y for r in drawn) for _, y, _ in rows} == {"l0": 20, "l1": 20, "l2": 20}
+    some = langid.bounded_bytes(spark.createDataFrame(drawn), "y", "t", ["k", "t"], 2000).collect()
+    for y in ("l0", "l1", "l2"):
+        own = [len(r.t.encode()) for r in some if r.y == y]
+        assert sum(own) >= 2000 and sum(own) - max(own) < 2000 + max(own)
+    assert {(r.k, r.y, r.t) for r in some} <= set(rows)
+    one = langid.bounded_bytes(spark.createDataFrame(drawn), "y", "t", ["k", "t"], 1).collect()
+    assert sorted(r.y for r in one if r.t) >= ["l0"]
+
+
 def test_networks_learn_held_out_rows(spark, frame, tables):
     rows = corpus(600)
     docs = spark.createDataFrame([(k, t, lang, "s") for k, t, lang, _ in rows] + [(10_000, None, None, None), (10_001, "123 !", None, "s"), (10_002, "", "xx", "s")], "doc_id long, text string, lang string, source string")
