@@ -14,6 +14,8 @@ WIDTHS = ((2, 8), (3, 12), (4, 12))  # width, filters
 DIM = 8
 SPAN = max(w for w, _ in WIDTHS)
 FILTERS = sum(n for _, n in WIDTHS)
+#: Chunks whose responses are in memory at once.
+BLOCK = 128
 
 
 class ByteCNN:
@@ -41,9 +43,18 @@ class ByteCNN:
         rows = np.lib.stride_tricks.sliding_window_view(emb.reshape(n, length * DIM), SPAN * DIM, axis=1)[:, ::DIM]
         return (rows.reshape(-1, SPAN * DIM) @ self.p["conv"]).reshape(n, length - SPAN + 1, FILTERS)
 
-    def features(self, codes: np.ndarray, block: int = 128) -> np.ndarray:
+    def _pooled(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(chunks, filters): where each filter responds most in each chunk, and how much."""
+        best, top = [np.zeros((0, FILTERS), np.int64)], [np.zeros((0, FILTERS), np.float32)]
+        for k in range(0, len(codes), BLOCK):
+            response = self._convolved(codes[k : k + BLOCK])
+            best.append(response.argmax(axis=1))
+            top.append(np.take_along_axis(response, best[-1][:, None, :], axis=1)[:, 0])
+        return np.concatenate(best), np.concatenate(top)
+
+    def features(self, codes: np.ndarray) -> np.ndarray:
         """(chunks, filters): each filter's largest response in each chunk."""
-        top = [self._convolved(codes[k : k + block]).max(axis=1) for k in range(0, len(codes), block)]
+        top = [self._convolved(codes[k : k + BLOCK]).max(axis=1) for k in range(0, len(codes), BLOCK)]
         return np.maximum(np.concatenate(top) + self.p["bias"], 0) if top else np.zeros((0, FILTERS), np.float32)
 
     def logits(self, features: np.ndarray) -> np.ndarray:
@@ -73,9 +84,8 @@ class ByteCNN:
         sizes = np.array([len(g) for g in groups])
         owner = np.repeat(np.arange(len(groups)), sizes)
         codes = np.concatenate(groups)
-        response = self._convolved(codes)
-        best = response.argmax(axis=1)
-        top = np.take_along_axis(response, best[:, None, :], axis=1)[:, 0] + self.p["bias"]
+        best, top = self._pooled(codes)
+        top = top + self.p["bias"]
         feats = np.maximum(top, 0)
         share = (1 / sizes)[owner].astype(np.float32)
         joined = np.zeros((len(groups), FILTERS), np.float32)
@@ -86,13 +96,18 @@ class ByteCNN:
         odds[np.arange(len(labels)), labels] -= 1
         odds /= len(labels)
         back = (odds @ self.p["dense"].T)[owner] * share[:, None] * (top > 0)
-        where = codes[np.arange(len(codes))[:, None, None], best[:, :, None] + np.arange(SPAN)]  # (chunks, filters, SPAN)
-        seen = self.p["emb"][where].reshape(len(codes), FILTERS, SPAN * DIM)
-        to_emb = (back[:, :, None] * self.p["conv"].T[None]).reshape(-1, DIM)
-        flat = where.reshape(-1)
+        emb, conv = np.zeros((256, DIM)), np.zeros_like(self.p["conv"])
+        for k in range(0, len(codes), BLOCK):
+            own, pulled = codes[k : k + BLOCK], back[k : k + BLOCK]
+            where = own[np.arange(len(own))[:, None, None], best[k : k + BLOCK, :, None] + np.arange(SPAN)]  # (chunks, filters, SPAN)
+            seen = self.p["emb"][where].reshape(len(own), FILTERS, SPAN * DIM)
+            to_emb = (pulled[:, :, None] * self.p["conv"].T[None]).reshape(-1, DIM)
+            flat = where.reshape(-1)
+            emb += np.stack([np.bincount(flat, to_emb[:, d], 256) for d in range(DIM)], axis=1)
+            conv += np.einsum("nf,nfk->kf", pulled, seen) * self.mask
         return {
-            "emb": np.stack([np.bincount(flat, to_emb[:, d], 256) for d in range(DIM)], axis=1).astype(np.float32),
-            "conv": np.einsum("nf,nfk->kf", back, seen) * self.mask,
+            "emb": emb.astype(np.float32),
+            "conv": conv,
             "bias": back.sum(axis=0),
             "dense": joined.T @ odds + 1e-4 * self.p["dense"],
             "out": odds.sum(axis=0),

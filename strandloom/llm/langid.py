@@ -14,9 +14,11 @@ from .common import append_columns, table, texts
 #: Bytes of a window, and where the next begins: no filter's place is lost between.
 LENGTH = 256
 STRIDE = LENGTH - (SPAN - 1)
-#: Rows of one class that a model is fitted on at most, and windows of each.
-PER_CLASS, PICKS = 400, 3
-EPOCHS, BATCH = 4, 64
+#: Rows of one class that a model is fitted on at most, whole texts each.
+PER_CLASS = 400
+#: A class's rows are taken until their texts have so many bytes.
+SAMPLE_BYTES = 8 << 20
+EPOCHS, BATCH = 2, 64
 
 
 def remainder(doc_id: Column, n: int) -> Column:
@@ -27,40 +29,41 @@ def bounded_sample(rows: DataFrame, label: str, order: list[str], per_class: int
     """At most ``per_class`` rows of each label, chosen by a hash of ``order``.
 
     Rows are thinned by rate before the exact cut, so a frequent label's rows
-    don't meet in one task.
+    don't meet in one task. Labels are looked up in one map, however many there are.
     """
     counts = {r[0]: r[1] for r in rows.groupBy(label).count().collect()}
     if not counts:
         return rows.limit(0)
-    rate = F.lit(0.0)
-    for value, n in sorted(counts.items(), key=lambda x: str(x[0])):
-        rate = F.when(F.col(label) == F.lit(value), F.lit(min(1.0, 1.5 * per_class / n + 20 / n))).otherwise(rate)
+    rates = ((value, min(1.0, 1.5 * per_class / n + 20 / n)) for value, n in sorted(counts.items(), key=str))
+    rate = F.create_map(*(F.lit(x) for pair in rates for x in pair))[F.col(label)]
     drawn = rows.withColumn("__h", F.xxhash64(F.lit(20), *(F.col(c) for c in order)))
     drawn = drawn.where(F.pmod("__h", F.lit(1 << 20)) < rate * (1 << 20))
-    first = Window.partitionBy(label).orderBy("__h")
+    first = Window.partitionBy(label).orderBy("__h", *order)
     return drawn.withColumn("__n", F.row_number().over(first)).where(F.col("__n") <= per_class).drop("__n", "__h")
 
 
-def excerpts(text: Column, length: int, n: int) -> Column:
-    """``n`` evenly spread excerpts of a text, so that a sample's size is bounded."""
-    room = F.greatest(F.length(text) - F.lit(length), F.lit(0))
-    return F.array(*(F.substring(text, (F.lit(1) + F.floor(room * F.lit(k / max(1, n - 1)))).cast("int"), F.lit(length)) for k in range(n)))
+def bounded_bytes(sample: DataFrame, label: str, text: str, order: list[str], limit: int) -> DataFrame:
+    """Rows of a bounded sample, whole, until each label's texts have ``limit`` bytes; one row of a label at least."""
+    before = Window.partitionBy(label).orderBy(F.xxhash64(F.lit(20), *(F.col(c) for c in order)), *order).rowsBetween(Window.unboundedPreceding, -1)
+    return sample.withColumn("__b", F.coalesce(F.sum(F.octet_length(text)).over(before), F.lit(0))).where(F.col("__b") < limit).drop("__b")
 
 
 def fit_languages(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_class: int = PER_CLASS) -> tuple[ByteCNN | None, list[str]]:
-    """A network and its classes, from at most ``per_class`` rows of each language."""
+    """A network and its classes, from at most ``per_class`` rows of each language.
+
+    The rows' texts are taken whole, every window of each, up to the row that
+    passes ``SAMPLE_BYTES`` for its language. Rows without text or language teach
+    nothing; without any the network is None.
+    """
     rows = labelled.where(F.col(lang).isNotNull() & (F.length(text) > 0)).select(F.col(key).alias("k"), F.col(lang).alias("y"), F.col(text).alias("t"))
-    sample = bounded_sample(rows, "y", ["k"], per_class).select("k", "y", excerpts(F.col("t"), LENGTH, PICKS).alias("w")).collect()
+    sample = bounded_bytes(bounded_sample(rows, "y", ["k", "t"], per_class), "y", "t", ["k", "t"], SAMPLE_BYTES).collect()
     if not sample:
         return None, []
-    sample.sort(key=lambda r: (str(r.k), r.y, r.w))
+    sample.sort(key=lambda r: (str(r.k), r.y, r.t))
     classes = sorted({r.y for r in sample})
-    groups, labels = [], []
-    for r in sample:
-        for w in dict.fromkeys(r.w):
-            groups.append(chunked([w.encode()[:LENGTH].decode("utf-8", "ignore")], LENGTH, STRIDE)[0])
-            labels.append(classes.index(r.y))
-    return ByteCNN(len(classes)).fit(groups, np.array(labels), EPOCHS, BATCH), classes
+    codes, owner, _ = chunked([r.t for r in sample], LENGTH, STRIDE)
+    labels = np.array([classes.index(r.y) for r in sample])[owner]
+    return ByteCNN(len(classes)).fit([codes[k : k + 1] for k in range(len(codes))], labels, EPOCHS, BATCH), classes
 
 
 def predict_languages(docs: DataFrame, net: ByteCNN | None, classes: list[str], *, text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -68,7 +71,8 @@ def predict_languages(docs: DataFrame, net: ByteCNN | None, classes: list[str],
 
     A null text or one without a letter is ``und`` with score 0, and so is every
     text if nothing was learned. Texts are read whole, in windows of ``LENGTH``
-    bytes. Repeated rows get equal answers. Narrow: no shuffle.
+    bytes. Repeated rows get equal answers. An empty table stays empty; columns of
+    the new names are replaced. Narrow: no shuffle.
     """
 
     def make():
@@ -92,7 +96,10 @@ def predict_languages(docs: DataFrame, net: ByteCNN | None, classes: list[str],
 
 
 def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The language of every document; learned where crc32(doc_id) mod 5 is not 0."""
+    """The language of every document; learned where crc32(doc_id) mod 5 is not 0.
+
+    A document without doc_id is in no fold: held_out is null, and it teaches nothing.
+    """
     docs = table(spark, sf_dir, "documents")
     net, classes = fit_languages(docs.where(remainder(F.col("doc_id"), 5) != 0))
     found = predict_languages(docs, net, classes, keep=["doc_id"])
