@@ -41,9 +41,9 @@ END = 1
 VOCABULARY = "byte_bpe_50k.json"
 SEED = 6
 #: Documents and bytes of text of a shard, which are in memory at once; a longer text is alone.
-SHARD_DOCS, SHARD_BYTES = 2000, 8 << 20
+SHARD_DOCS, SHARD_BYTES = 1500, 6 << 20
 #: Bytes of text of a partition, and the most partitions; beyond that each holds more shards.
-PART_BYTES, MOST_PARTS = 6 << 20, 1 << 16
+PART_BYTES, MOST_PARTS = 4 << 20, 1 << 16
 #: Documents sampled for each cut.
 SAMPLED = 64
 #: Hashed words are counted in so many slots; words that share one share its count.
@@ -90,14 +90,16 @@ class Hasher:
     def __call__(self, buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Of spans in order, none empty beyond the buffer's end."""
         low, high = np.zeros(len(starts), _U64), np.zeros(len(starts), _U64)
-        total, up = np.zeros(1, _U64), 1
+        total, up, held = np.zeros(1, _U64), 1, np.empty(self.BLOCK + 1, _U64)
         for at in range(0, len(buffer), self.BLOCK):
             part = buffer[at : at + self.BLOCK]
-            sums = np.empty(len(part) + 1, _U64)
-            sums[0] = total[0]
-            np.cumsum(self.table[part] * self.up[: len(part)], out=sums[1:])
+            sums = held[: len(part) + 1]
+            np.take(self.table, part, out=sums[1:], mode="clip")
+            sums[1:] *= self.up[: len(part)]
+            np.cumsum(sums[1:], out=sums[1:])
             sums[1:] *= _U64(up)
             sums[1:] += total
+            sums[0] = total[0]
             for out, where in ((low, starts), (high, ends)):
                 a, b = np.searchsorted(where, (at, at + len(part) + 1))
                 out[a:b] = sums[where[a:b] - at]
@@ -108,12 +110,13 @@ class Hasher:
 
 
 def words_of(raw: list[bytes], hasher: Hasher) -> tuple[np.ndarray, np.ndarray]:
-    """(row, hash) of every word of some texts: runs of other than ASCII white space."""
-    buffer = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)
-    edges = np.flatnonzero(np.diff(_WHITE[buffer].view(np.int8), prepend=1))
+    """(row, hash) of every word of some texts: runs of other than blanks and control characters."""
+    buffer = np.frombuffer(b"\n".join([b"", *raw, b""]), np.uint8)
+    inside = buffer > 32
+    edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
     starts, ends = edges[::2], edges[1::2]
-    row = np.searchsorted(np.cumsum([0, *(len(r) + 1 for r in raw)]), starts, side="right") - 1
-    return row, hasher(buffer, starts, ends)
+    begin = np.searchsorted(starts, np.cumsum([1, *(len(r) + 1 for r in raw)]))
+    return np.repeat(np.arange(len(raw)), np.diff(begin)), hasher(buffer, starts, ends)
 
 
 @functools.lru_cache(2)
@@ -150,6 +153,19 @@ def load_merger(path: str):
     return tiktoken.Encoding("pieces", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each distinct hash occurs first, and the number of each one, as far as
+    the upper bits tell: the lower ones carry the places, so that one sort does."""
+    low = _U64((1 << max(1, (len(h) - 1).bit_length())) - 1)
+    keys = np.sort((h & ~low) | np.arange(len(h), dtype=_U64))
+    order = (keys & low).astype(np.int64)
+    keys &= ~low
+    new = np.concatenate(([True], keys[1:] != keys[:-1]))
+    which = np.empty(len(h), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return order[new], which
+
+
 def irregular(raw: list[bytes]) -> np.ndarray:
     """Which texts have white space other than single blanks and line ends between
     other characters, or a long piece between blanks."""
@@ -218,9 +234,11 @@ class Encoder:
             begin = np.searchsorted(starts, np.cumsum([0, *(len(raw[k]) + 1 for k in own)]))  # pieces before each text
             h = self.hasher(buffer, starts, ends)
             h[begin[:-1]] = ~h[begin[:-1]]  # no blank comes before it
-            _, place, which = np.unique(h, return_index=True, return_inverse=True)
-            if not self.agree(flat, starts, ends, place[which]):
-                whole, own = list(range(len(raw))), []
+            place, which = distinct(h)
+            if not self.agree(flat, starts, ends, place[which]):  # by all bits of the hashes
+                _, place, which = np.unique(h, return_index=True, return_inverse=True)
+                if not self.agree(flat, starts, ends, place[which]):
+                    whole, own = list(range(len(raw))), []
         if own:
             leads = np.zeros(len(starts), bool)
             leads[begin[:-1]] = True
@@ -250,8 +268,8 @@ class Encoder:
         eight = np.ndarray(len(flat) + 9, "<u8", bytes(8) + flat + bytes(8), strides=(1,))
         n = ends - starts
         keep = np.array([(1 << 8 * k) - 1 for k in range(8)] + [(1 << 64) - 1], _U64)[np.minimum(n, 8)]
-        head, tail = eight[starts + 8] & keep, np.where(n >= 8, eight[ends], _U64(0))
-        return bool((n == n[like]).all() and (head == head[like]).all() and (tail == tail[like]).all())
+        head, long = eight[starts + 8] & keep, np.flatnonzero(n > 8)
+        return bool((n == n[like]).all() and (head == head[like]).all() and (eight[ends[long]] == eight[ends[like[long]]]).all())
 
 
 class Weights:
