@@ -161,7 +161,10 @@ def kmers8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.prepare_extracted_region(sequences(spark, sf_dir, 8, where="doc_id % 2 = 0"), "A", 8, FWD["A"], REV["A"])[0]
 
 
-@query(f"WITH k AS ({KMERS8}), r AS ({READS8}) SELECT k.id AS kmer, r.id AS asv, 8 AS length, CAST(hamming(k.sequence, r.sequence) AS INTEGER) AS mismatch, 2 AS max_mismatch, 'A' AS region FROM k, r WHERE hamming(k.sequence, r.sequence) <= 2")
+ALIGNED8 = f"WITH k AS ({KMERS8}), r AS ({READS8}) SELECT k.id AS kmer, r.id AS asv, 8 AS length, CAST(hamming(k.sequence, r.sequence) AS INTEGER) AS mismatch, 2 AS max_mismatch, 'A' AS region FROM k, r WHERE hamming(k.sequence, r.sequence) <= 2"
+
+
+@query(ALIGNED8)
 def align_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.align_regional_kmers(kmers8(spark, sf_dir), reads8(spark, sf_dir), "A", 2)
 
@@ -172,6 +175,29 @@ def unaligned_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.unaligned_reads(align.align_regional_kmers(kmers8(spark, sf_dir), reads, "A", 1), reads)
 
 
+#: A stretch of 100 letters of each text's digests, and reads that differ from some of them in two places.
+LONG = "translate(md5(coalesce(text, '')) || md5('1' || coalesce(text, '')) || md5('2' || coalesce(text, '')) || md5('3' || coalesce(text, '')), '" + HEX + "', '" + PLAIN + "')"
+LONG_SQL = f"""k AS (SELECT string_agg(id, '|' ORDER BY id) AS id, sequence FROM (SELECT 'd' || lpad(CAST(doc_id AS VARCHAR), 7, '0') AS id, substr({LONG}, 1, 100) AS sequence FROM documents) GROUP BY sequence),
+r AS (SELECT DISTINCT 'r' || md5(sequence) AS id, sequence FROM (SELECT CASE WHEN doc_id % 2 = 0 THEN s ELSE substr(s, 1, 30) || 'AA' || substr(s, 33) END AS sequence FROM (SELECT doc_id, substr({LONG}, 1, 100) AS s FROM documents)))"""
+
+
+def long_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    digits = F.concat(F.md5(text), *(F.md5(F.concat(F.lit(k), text)) for k in "123"))
+    name = F.concat(F.lit("d"), F.lpad(F.col("doc_id").cast("string"), 7, "0"))
+    return read(spark, sf_dir, "documents").select(name.alias("id"), F.translate(F.substring(digits, 1, 100), HEX, PLAIN).alias("sequence"), "doc_id")
+
+
+@query(f"WITH {LONG_SQL} SELECT k.id AS kmer, r.id AS asv, 100 AS length, CAST(hamming(k.sequence, r.sequence) AS INTEGER) AS mismatch, 2 AS max_mismatch, 'A' AS region FROM k, r WHERE hamming(k.sequence, r.sequence) <= 2")
+def align_long_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents on both sides, 100 letters each, two mismatches."""
+    s = long_sequences(spark, sf_dir)
+    kmers, _ = extract.prepare_extracted_region(s.select("id", "sequence"), "A", 100, FWD["A"], REV["A"])
+    cut = F.when(F.col("doc_id") % 2 == 0, F.col("sequence")).otherwise(F.concat(F.substring("sequence", 1, 30), F.lit("AA"), F.substring("sequence", 33, 68)))
+    reads = s.select(cut.alias("sequence")).distinct().select(F.concat(F.lit("r"), F.md5("sequence")).alias("id"), "sequence")
+    return align.align_regional_kmers(kmers, reads, "A", 2)
+
+
 # The database of two regions: the first and last five letters, the second not for every third document.
 
 B_WHERE = "doc_id % 3 <> 0"
@@ -217,8 +243,11 @@ def names_and_summary(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Data
     return database.reconstruct_database(REGIONS, alignments, maps)
 
 
-@query(f"""WITH {BASE} SELECT nm.db_seq, nm.clean_name, min(m.region) AS first_region, CASE min(m.region) WHEN 0 THEN '{FWD["A"]}' ELSE '{FWD["B"]}' END AS first_fwd_primer, max(m.region) AS last_region,
-CASE max(m.region) WHEN 0 THEN '{FWD["A"]}' ELSE '{FWD["B"]}' END AS last_fwd_primer, CASE max(m.region) WHEN 0 THEN 5 ELSE -5 END AS last_kmer_length FROM nm JOIN m ON m.id = nm.db_seq GROUP BY 1, 2""")
+NAMED = f"""WITH {BASE} SELECT nm.db_seq, nm.clean_name, min(m.region) AS first_region, CASE min(m.region) WHEN 0 THEN '{FWD["A"]}' ELSE '{FWD["B"]}' END AS first_fwd_primer, max(m.region) AS last_region,
+CASE max(m.region) WHEN 0 THEN '{FWD["A"]}' ELSE '{FWD["B"]}' END AS last_fwd_primer, CASE max(m.region) WHEN 0 THEN 5 ELSE -5 END AS last_kmer_length FROM nm JOIN m ON m.id = nm.db_seq GROUP BY 1, 2"""
+
+
+@query(NAMED)
 def database_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names_and_summary(spark, sf_dir)[0]
 
@@ -229,10 +258,16 @@ mp AS (SELECT nm.clean_name, al.asv, min(al.region) AS region FROM al JOIN m ON
 ma AS (SELECT clean_name, string_agg(asv, '|' ORDER BY region, asv) AS mapped_asvs FROM mp GROUP BY 1)"""
 
 
-@query(f"""WITH {BASE}, {SUMMARY} SELECT su.clean_name AS feature_id, CAST(num_regions AS INTEGER) AS num_regions, CAST(total AS BIGINT) AS total_kmers_mapped, round(mean_n, 9) AS mean_kmer_per_region, round(sd, 9) AS stdv_kmer_per_region, mapped_asvs
-FROM su LEFT JOIN ma ON su.clean_name = ma.clean_name""")
+SUMMED = f"""WITH {BASE}, {SUMMARY} SELECT su.clean_name AS feature_id, CAST(num_regions AS INTEGER) AS num_regions, CAST(total AS BIGINT) AS total_kmers_mapped, round(mean_n, 9) AS mean_kmer_per_region, round(sd, 9) AS stdv_kmer_per_region, mapped_asvs
+FROM su LEFT JOIN ma ON su.clean_name = ma.clean_name"""
+
+
+@query(SUMMED)
 def database_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    summary = names_and_summary(spark, sf_dir)[1]
+    return rounded(names_and_summary(spark, sf_dir)[1])
+
+
+def rounded(summary: DataFrame) -> DataFrame:
     return summary.withColumns({c: F.round(c, 9) for c in ("mean_kmer_per_region", "stdv_kmer_per_region")})
 
 
@@ -324,16 +359,32 @@ def scale_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.scale_counts(kept, shares, matrix, summary, "weighted", 2)
 
 
-@query()
+#: The iteration, each sample until its error is small; every step reads the one before.
+EM = """sh AS (SELECT sample_id, asv, count / sum(count) OVER (PARTITION BY sample_id) AS y FROM kp),
+w AS (SELECT sh.sample_id AS s, sh.asv AS r, av.clean_name AS c, av.a, sh.y FROM sh JOIN av ON av.asv = sh.asv WHERE av.a > 0),
+em AS (SELECT s, c, f / sum(f) OVER (PARTITION BY s) AS f, FALSE AS done, 0 AS k FROM (SELECT s, c, sum(a * y) AS f FROM w GROUP BY 1, 2)
+UNION ALL SELECT s, c, CASE WHEN err >= 1e-7 AND g <= 1e-9 THEN 0 ELSE g END, err < 1e-7, k + 1 FROM (
+SELECT s, c, k, f * b AS g, sum(abs(1 - b) * f) OVER (PARTITION BY s) AS err FROM (
+SELECT s, c, f, k, sum(a * y / (theta + 2.220446049250313e-16)) AS b FROM (
+SELECT w.s, w.c, w.a, w.y, em.f, em.k, sum(w.a * em.f) OVER (PARTITION BY w.s, w.r) AS theta FROM em JOIN w ON em.s = w.s AND em.c = w.c WHERE NOT em.done AND em.f > 0 AND em.k < 100000) GROUP BY s, c, f, k))),
+fs AS (SELECT s AS sample_id, c AS clean_name, f / sum(f) OVER (PARTITION BY s) AS f FROM em WHERE done AND f > 1e-9)"""
+RECONSTRUCTED = f"""WITH RECURSIVE {BASE}, {SUMMARY}, {MATRIX}, {EM},
+pr AS (SELECT sample_id, clean_name, f, su.num_regions, f / su.num_regions / sum(f / su.num_regions) OVER (PARTITION BY sample_id) AS g FROM fs JOIN su USING (clean_name)),
+q AS (SELECT kp.sample_id, kp.asv, kp.count, av.clean_name, pr.num_regions, pr.g * av.a AS p FROM kp JOIN av ON av.asv = kp.asv JOIN pr ON pr.sample_id = kp.sample_id AND pr.clean_name = av.clean_name),
+v AS (SELECT clean_name, sample_id, num_regions, sum(count * p / (s + 2.220446049250313e-16)) AS v FROM (SELECT *, sum(p) OVER (PARTITION BY sample_id, asv) AS s FROM q) GROUP BY 1, 2, 3),
+rc AS (SELECT clean_name AS feature_id, sample_id, round_even(v / num_regions, 0) AS count FROM v WHERE round_even(v / num_regions, 0) > 0)"""
+
+
+@query(f"WITH RECURSIVE {BASE}, {SUMMARY}, {MATRIX}, {EM} SELECT sample_id, clean_name, round(f, 6) AS f FROM fs")
 def em_solve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Shares of every sample; iterative, so without SQL."""
+    """Shares of every sample."""
     alignment, names, summary, tables = matrix_inputs(spark, sf_dir)
     matrix = settle(counts.pivot_mean(counts.alignment_matrix(alignment, names, summary)))
     kept = counts.union_tables(tables).join(alignment.select(F.col("asv").alias("feature_id")), "feature_id", "left_semi")
-    return counts.solve_samples(counts.normalise_samples(kept), matrix, 1e-9)
+    return counts.solve_samples(counts.normalise_samples(kept), matrix, 1e-9).withColumn("f", F.round("f", 6))
 
 
-@query()
+@query(f"{RECONSTRUCTED} SELECT feature_id, sample_id, count FROM rc")
 def reconstruct_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     maps, alignments, tables = two_regions(spark, sf_dir)
     names, summary = database.reconstruct_database(REGIONS, alignments, maps)
@@ -410,7 +461,12 @@ def consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fragments.consensus(s.select(F.concat(F.lit("g"), F.floor(F.substring("id", 2, 7).cast("long") / 5).cast("string")).alias("clean_name"), "sequence"))
 
 
-@query()
+@query(f"""WITH u AS (SELECT p, k, substr(sequence, k, 1) AS c FROM (SELECT CAST(substr(id, 2) AS BIGINT) // 2 AS p, sequence, unnest(range(1, 33)) AS k FROM ({sequences_sql(32)}))),
+w AS (SELECT p, k, c, row_number() OVER (PARTITION BY p, k ORDER BY count(*) DESC, c) AS r FROM u GROUP BY p, k, c),
+q AS (SELECT p, string_agg(c, '' ORDER BY k) AS s FROM w WHERE r = 1 GROUP BY p),
+f AS (SELECT p, arg_max(k + 1, n * 100 - k) AS at FROM (SELECT p, k, CAST(substr(s, k, 1) IN ('A', 'T') AS INT) + CAST(substr(s, k + 1, 1) = 'A' AS INT) AS n FROM (SELECT p, s, unnest(range(1, 32)) AS k FROM q)) WHERE n > 0 GROUP BY p),
+l AS (SELECT p, arg_max(k + 2, n * 100 - k) AS at FROM (SELECT p, k, CAST(substr(s, k, 1) = 'C' AS INT) + CAST(substr(s, k + 1, 1) IN ('A', 'G') AS INT) + CAST(substr(s, k + 2, 1) = 'T' AS INT) AS n FROM (SELECT p, s, unnest(range(1, 31)) AS k FROM q)) WHERE n > 0 GROUP BY p)
+SELECT 'd' || lpad(CAST(2 * q.p AS VARCHAR), 7, '0') || '|d' || lpad(CAST(2 * q.p + 1 AS VARCHAR), 7, '0') AS id, substr(s, coalesce(f.at, 0) + 1, greatest(coalesce(l.at, 0) + 8 - coalesce(f.at, 0), 0)) AS sequence FROM q LEFT JOIN f ON f.p = q.p LEFT JOIN l ON l.p = q.p""")
 def fragment_rep_seqs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fragments of pairs of documents; primers without an exact match are placed by their best fit."""
     s = sequences(spark, sf_dir, 32)
@@ -446,19 +502,101 @@ def feature_table_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sources.read_feature_tsv(spark, path)
 
 
+@query(f"SELECT feature_id, sample_id, count FROM ({ORDER_COUNTS}) WHERE count <> 0")
+def biom_json_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = file_path(spark, "biom")
+    sources.write_biom_json(order_counts(spark, sf_dir), path)
+    return sources.read_biom_json(spark, path)
+
+
+@query(ALIGNED8)
+def kmer_align_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = file_path(spark, "kmer-align")
+    sources.write_table(align_kmers(spark, sf_dir), path)
+    return sources.read_table(spark, path, "kmer-align", validate=True)
+
+
+@query(NAMED)
+def database_map_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = file_path(spark, "database-map")
+    sources.write_table(names_and_summary(spark, sf_dir)[0], path)
+    return sources.read_table(spark, path, "sidle-reconstruction-mapping", validate=True)
+
+
+@query(SUMMED)
+def summary_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = file_path(spark, "summary")
+    sources.write_table(names_and_summary(spark, sf_dir)[1], path, single_file=True)
+    return rounded(sources.read_table(spark, path, "sidle-summary", validate=True))
+
+
+@query(f"SELECT feature_id, sample_id, count, CAST(row_number() OVER (ORDER BY feature_id, sample_id) - 1 AS VARCHAR) AS id FROM ({ORDER_COUNTS})")
+def row_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sources.with_row_id(order_counts(spark, sf_dir), ["feature_id", "sample_id"])
+
+
 def file_path(spark: SparkSession, name: str) -> str:
     return f"{new_path(spark)}-{name}"
 
 
+# Refusals: the text of the error, or nothing
+
+
+def refusal(spark: SparkSession, act: Callable[[], object]) -> DataFrame:
+    try:
+        act()
+    except ValueError as why:
+        return spark.createDataFrame([(str(why),)], "why string")
+    return spark.createDataFrame([], "why string")
+
+
+@query(f"""WITH {BASE}, tb AS (SELECT CASE o.region WHEN 0 THEN 'A' ELSE 'B' END || o.amp AS asv, 's' || CAST(d.doc_id % 4 AS VARCHAR) AS sample_id, sum(length(coalesce(d.text, ''))) AS count FROM o JOIN documents d ON o.id = 'd' || lpad(CAST(d.doc_id AS VARCHAR), 7, '0') GROUP BY 1, 2),
+dp AS (SELECT sample_id, sum(CASE WHEN asv IN (SELECT asv FROM al) THEN count ELSE 0 END) AS depth FROM tb GROUP BY 1), low AS (SELECT count(*) AS n FROM dp WHERE depth <= 1000000000000)
+SELECT 'There are ' || CAST(n AS VARCHAR) || ' samples with fewer than 1000000000000 total sequences. Please check your minimum counts and make sure your representative sequences are aligned with the database.' AS why FROM low WHERE n > 0""")
+def depth_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is said if no sample is deep enough."""
+    _, alignments, tables = two_regions(spark, sf_dir)
+    table = counts.union_tables(tables)
+    kept = table.join(alignments[0].unionByName(alignments[1]).select(F.col("asv").alias("feature_id")), "feature_id", "left_semi")
+    return refusal(spark, lambda: counts.check_depth(table, kept, 10**12))
+
+
+@query("SELECT 'The kmers are not of a consistent length' AS why FROM (SELECT count(DISTINCT length(p_name)) AS n FROM part) WHERE n > 1")
+def length_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is said of sequences of several lengths; part names stand for them."""
+    names = read(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("id"), F.col("p_name").alias("sequence"))
+    return refusal(spark, lambda: align.check_read_lengths(names, "kmers"))
+
+
+@query(f"WITH r AS ({sequences_sql(12)}), s AS (SELECT substr(sequence, 1, 12 - CAST(substr(id, 8, 1) AS INTEGER)) AS s FROM r) SELECT DISTINCT md5(substr(s, 1, 8)) AS id, substr(s, 1, 8) AS sequence FROM s WHERE length(s) >= 8")
+def trim_short_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reads of 3 to 12 letters; those shorter than the trim length go."""
+    reads = sequences(spark, sf_dir, 12).select("id", F.expr("substr(sequence, 1, 12 - cast(substr(id, 8, 1) AS int))").alias("sequence"))
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        return trim.trim_dada2_posthoc(order_counts(spark, sf_dir), reads, 8)[1]
+
+
+@query(MAP_SQL.replace("5 AS kmer_length", "'5ish' AS kmer_length").join(["SELECT DISTINCT 'The kmer-length column must be numeric' AS why FROM (", ")"]))
+def validation_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is said of a kmer map whose lengths aren't numbers."""
+    path = file_path(spark, "kmer-map")
+    sources.write_table(coded_region(spark, sf_dir)[1].withColumn("kmer_length", F.lit("5ish")), path)
+    return refusal(spark, lambda: sources.validate_table(spark, path, "kmer-map"))
+
+
 # The whole
 
 
-@query()
-def sidle_reconstruction(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query(f"""{RECONSTRUCTED},
+lv AS (SELECT nm.clean_name AS g, 'k__x' AS l1, 'p__' || substr(t.sequence, 1, 1) AS l2, 'c__' || substr(t.sequence, 2, 3) AS l3 FROM nm JOIN ({sequences_sql(4)}) t ON t.id = nm.db_seq),
+lg AS (SELECT g, string_agg(DISTINCT l1, '|') AS g1, string_agg(DISTINCT l2, '|' ORDER BY l2) AS g2, string_agg(DISTINCT l3, '|' ORDER BY l3) AS g3 FROM lv GROUP BY g)
+SELECT rc.feature_id, rc.sample_id, rc.count, g1 || ';' || g2 || ';' || CASE WHEN contains(g2, '|') THEN g2 ELSE g3 END AS taxon FROM rc JOIN lg ON lg.g = rc.feature_id""")
+def full_reconstruction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All steps over two regions: counts with their taxonomy."""
     maps, alignments, tables = two_regions(spark, sf_dir)
     known = sequences(spark, sf_dir, 4).select(F.col("id").alias("feature_id"), F.concat_ws(";", F.lit("k__x"), F.concat(F.lit("p__"), F.substring("sequence", 1, 1)), F.concat(F.lit("c__"), F.substring("sequence", 2, 3))).alias("taxon"))
     with warnings.catch_warnings():
         warnings.simplefilter("ignore")
-        out = reconstruction.sidle_reconstruction(REGIONS, maps, alignments, tables, known, min_abund=1e-9, min_counts=1)
+        out = reconstruction.reconstruct_profiles(REGIONS, maps, alignments, tables, known, min_abund=1e-9, min_counts=1)
     return out.table.join(out.taxonomy, "feature_id")

@@ -22,7 +22,7 @@ class Reconstruction(NamedTuple):
     taxonomy: DataFrame
 
 
-def sidle_reconstruction(
+def reconstruct_profiles(
     region: Sequence[str],
     kmer_map: Sequence[DataFrame],
     regional_alignment: Sequence[DataFrame],

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import json
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -17,8 +18,6 @@ FORMATS = {
     "sidle-reconstruction-mapping": schemas.DATABASE_MAP,
     "sidle-summary": schemas.SUMMARY,
 }
-#: What rows are sorted by when read.
-ORDER = {"kmer-map": ["db_seq", "seq_name", "kmer"]}
 NUMERIC = (T.IntegerType, T.LongType, T.DoubleType)
 
 
@@ -61,15 +60,30 @@ def read_table(spark: SparkSession, path: str, kind: str, validate: bool = False
     names = {schemas.file_name(f.name): f for f in FORMATS[kind]}
     if kind == "sidle-reconstruction-mapping" and set(found.columns) != set(names):
         return found.select(*((F.col(f"`{c}`").cast("double") if "length" in c else F.col(f"`{c}`")).alias(c.replace("-", "_")) for c in found.columns))
-    out = found.select(*((F.col(f"`{c}`").cast("double").cast(f.dataType) if isinstance(f.dataType, NUMERIC) else F.col(f"`{c}`")).alias(f.name) for c, f in names.items()))
-    return out.orderBy(*ORDER[kind]) if kind in ORDER else out
+    return found.select(*((F.col(f"`{c}`").cast("double").cast(f.dataType) if isinstance(f.dataType, NUMERIC) else F.col(f"`{c}`")).alias(f.name) for c, f in names.items()))
+
+
+def one_file(lines: DataFrame, order: list[str], path: str) -> None:
+    """The column ``line`` as one text file in the given order; one task sorts and
+    writes it, spilling where it must."""
+    lines.repartition(1).sortWithinPartitions(*order).select("line").write.mode("overwrite").text(path)
 
 
 def write_table(table: DataFrame, path: str, single_file: bool = False) -> None:
-    """A table as TSV under the file's column names."""
-    named = table.select(*(F.col(f"`{c}`").alias(schemas.file_name(c)) for c in table.columns))
+    """A table as TSV under the file's column names.
+
+    A summary is one file always, whose first row tells the columns' types, as its
+    readers want; its rows are in order of their ids.
+    """
+    names = [schemas.file_name(c) for c in table.columns]
+    if set(table.columns) == set(schemas.SUMMARY.names):
+        kinds = ["#q2:types"] + ["numeric" if isinstance(table.schema[c].dataType, NUMERIC) else "categorical" for c in table.columns[1:]]  # fixed values
+        head = table.sparkSession.createDataFrame([(0, "", "\t".join(names)), (1, "", "\t".join(kinds))], "part int, k string, line string")
+        cells = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in table.columns)
+        return one_file(head.union(table.select(F.lit(2), table.columns[0], F.concat_ws("\t", *cells))), ["part", "k"], path)
+    named = table.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(table.columns, names, strict=True)))
     named = named.coalesce(1) if single_file else named
-    named.write.mode("overwrite").option("sep", "\t").option("header", True).csv(path)
+    return named.write.mode("overwrite").option("sep", "\t").option("header", True).csv(path)
 
 
 def with_row_id(table: DataFrame, order: list[str]) -> DataFrame:
@@ -96,33 +110,56 @@ def read_feature_tsv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_feature_tsv(table: DataFrame, path: str) -> None:
-    """Long rows as a feature-by-sample TSV, zeros made again here only."""
-    wide = table.groupBy("feature_id").pivot("sample_id").agg(F.sum("count")).fillna(0.0)
-    wide.withColumnRenamed("feature_id", "#OTU ID").coalesce(1).write.mode("overwrite").option("sep", "\t").option("header", True).csv(path)
+    """Long rows as a feature-by-sample TSV, zeros made again here only.
+
+    One file with a line for each feature, in order of the ids. A line holds a
+    number for each sample, so the samples' ids must fit in memory, as any
+    reader of the format needs; the features need not.
+    """
+    samples = [r[0] for r in table.select("sample_id").distinct().orderBy("sample_id").collect()]
+    head = table.sparkSession.createDataFrame([(0, "", "\t".join(["#OTU ID", *samples]))], "part int, k string, line string")
+    cells = table.groupBy("feature_id", "sample_id").agg(F.sum("count").alias("count")).groupBy("feature_id").agg(F.map_from_entries(F.collect_list(F.struct("sample_id", "count"))).alias("m"))
+    zero = F.lit("0.0")
+    line = F.array_join(F.transform(F.lit(samples) if samples else F.array().cast("array<string>"), lambda s: F.coalesce(F.try_element_at("m", s).cast("string"), zero)), "\t")
+    one_file(head.union(cells.select(F.lit(1), "feature_id", F.concat_ws("\t", "feature_id", line))), ["part", "k"], path)
 
 
 def read_biom_json(spark: SparkSession, path: str) -> DataFrame:
-    """A biom 1.0 JSON file, sparse or dense, as long rows."""
-    doc = spark.read.option("wholetext", True).text(path)
+    """A biom 1.0 JSON file, sparse or dense, as long rows.
+
+    The ids are taken out of the document once and joined by number.
+    """
+    doc = spark.read.text(path, wholetext=True)
     shape = "struct<matrix_type:string,rows:array<struct<id:string>>,columns:array<struct<id:string>>,data:array<array<double>>>"
     b = doc.select(F.from_json("value", shape).alias("b")).select("b.*")
-    sparse = b.where("matrix_type = 'sparse'").select("rows", "columns", F.explode("data").alias("d"))
-    sparse = sparse.select(F.get("rows", F.col("d")[0].cast("int"))["id"].alias("feature_id"), F.get("columns", F.col("d")[1].cast("int"))["id"].alias("sample_id"), F.col("d")[2].alias("count"))
-    dense = b.where("matrix_type = 'dense'").select("rows", "columns", F.posexplode("data").alias("r", "d")).select("rows", "columns", "r", F.posexplode("d").alias("c", "count"))
-    dense = dense.select(F.get("rows", F.col("r"))["id"].alias("feature_id"), F.get("columns", F.col("c"))["id"].alias("sample_id"), "count")
-    return sparse.union(dense).where("count <> 0")
+
+    def ids(axis: str, number: str, name: str) -> DataFrame:
+        return b.select(F.posexplode(axis).alias(number, "x")).select(number, F.col("x.id").alias(name))
+
+    sparse = b.where("matrix_type = 'sparse'").select(F.explode("data").alias("d")).select(F.col("d")[0].cast("int").alias("r"), F.col("d")[1].cast("int").alias("c"), F.col("d")[2].alias("count"))
+    dense = b.where("matrix_type = 'dense'").select(F.posexplode("data").alias("r", "d")).select("r", F.posexplode("d").alias("c", "count"))
+    named = sparse.union(dense).where("count <> 0").join(ids("rows", "r", "feature_id"), "r").join(ids("columns", "c", "sample_id"), "c")
+    return named.select("feature_id", "sample_id", "count")
 
 
 def write_biom_json(table: DataFrame, path: str) -> None:
-    """Long rows as one biom 1.0 JSON document. The format is one document, so the table meets in one task."""
-    rows = F.array_sort(F.collect_set("feature_id")).alias("r")
-    whole = table.agg(rows, F.array_sort(F.collect_set("sample_id")).alias("c"), F.collect_list(F.struct("feature_id", "sample_id", "count")).alias("d"))
-
-    def record(r) -> str:
-        at = {x: k for k, x in enumerate(r.r)}, {x: k for k, x in enumerate(r.c)}
-        data = sorted([at[0][d["feature_id"]], at[1][d["sample_id"]], d["count"]] for d in r.d)
-        ids = [[{"id": x, "metadata": None} for x in names] for names in (r.r, r.c)]
-        return json.dumps({"id": None, "format": "Biological Observation Matrix 1.0.0", "type": "OTU table", "matrix_type": "sparse", "matrix_element_type": "float", "shape": [len(r.r), len(r.c)], "rows": ids[0], "columns": ids[1], "data": data})
-
-    text = F.udf(record, "string")
-    whole.select(text(F.struct("r", "c", "d")).alias("value")).write.mode("overwrite").text(path)
+    """Long rows as one biom 1.0 JSON document in one file.
+
+    Every id and every count is a line of the document, which is sorted and
+    written line by line; no row holds the table.
+    """
+    cells = settle(table.groupBy("feature_id", "sample_id").agg(F.sum("count").alias("count")).where("count <> 0"))
+    rows, columns = (settle(with_row_id(cells.select(c).distinct(), [c]).select(c, F.col("id").cast("int").alias("n"))) for c in ("feature_id", "sample_id"))
+    n_rows, n_columns = rows.count(), columns.count()
+    head = json.dumps({"id": None, "format": "Biological Observation Matrix 1.0.0", "type": "OTU table", "matrix_type": "sparse", "matrix_element_type": "float", "shape": [n_rows, n_columns]})[:-1]
+    marks = [(0, 0, head + ', "rows": ['), (2, 0, '], "columns": ['), (4, 0, '], "data": ['), (6, 0, "]}")]
+    parts = [table.sparkSession.createDataFrame(marks, "part int, k long, line string")]
+    for part, df, c in ((1, rows, "feature_id"), (3, columns, "sample_id")):
+        named = F.to_json(F.struct(F.col(c).alias("id"), F.lit(None).cast("string").alias("metadata")), {"ignoreNullFields": "false"})
+        parts.append(df.select(F.lit(part).alias("part"), F.col("n").cast("long").alias("k"), F.concat(F.when(F.col("n") > 0, ",").otherwise(""), named).alias("line")))
+    placed = cells.join(rows.withColumnRenamed("n", "r"), "feature_id").join(columns.withColumnRenamed("n", "c"), "sample_id")
+    at = F.col("r").cast("long") * n_columns + F.col("c")
+    first = placed.agg(F.min(at)).first()[0]
+    value = F.concat(F.lit("["), F.concat_ws(",", F.col("r").cast("string"), F.col("c").cast("string"), F.col("count").cast("string")), F.lit("]"))
+    parts.append(placed.select(F.lit(5).alias("part"), at.alias("k"), F.concat(F.when(at > F.lit(first), ",").otherwise(""), value).alias("line")))
+    one_file(functools.reduce(DataFrame.union, parts), ["part", "k"], path)

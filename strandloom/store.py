@@ -15,12 +15,14 @@ from pyspark.sql import DataFrame, SparkSession
 def new_path(spark: SparkSession) -> str:
     """A new path below ``spark.checkpoint.dir``.
 
-    Only where the session names no such folder a temporary one is set.
+    Only on one machine (a local master) may the session name no such folder;
+    then it is a temporary one.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='strandloom-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = f"file://{tempfile.gettempdir()}"
     return f"{base.rstrip('/')}/strandloom-{uuid.uuid4().hex}"
 
 

@@ -313,7 +313,7 @@ def test_pipeline_matches_its_steps(spark):
     maps, aligned, tables = two_regions(spark)
     taxa = spark.createDataFrame([(f"seq{k}", f"k__x;p__{k}") for k in range(1, 7)], schemas.TAXONOMY)
     with pytest.warns(UserWarning):
-        out = reconstruction.sidle_reconstruction(REGIONS, maps, aligned, tables, taxa, min_abund=1e-2, min_counts=10)
+        out = reconstruction.reconstruct_profiles(REGIONS, maps, aligned, tables, taxa, min_abund=1e-2, min_counts=10)
     assert out.table.count() == sum(bool(n) for row in WANT["average"] for n in row)
     assert pairs(out.taxonomy, "feature_id", "taxon") == [(f"seq{k}", f"k__x;p__{k}") for k in range(1, 7)]
     assert pairs(reconstruction.exclude_taxa(taxa, seqs(spark, seq1="A", seq2="C"), ["P__1"]), "id") == [("seq2",)]
