@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from strandloom.functions import iupac
 
+#: Parts of a segment's kmers.
+SALTS = 4
+
 
 def check_read_lengths(sequences: DataFrame, what: str) -> tuple[int, int]:
     """(rows, their one length); ValueError if lengths differ."""
@@ -24,6 +27,8 @@ def hamming_join(kmers: DataFrame, reads: DataFrame, length: int, max_mismatch:
     pair. A pair is taken at the first segment in which it agrees and nowhere
     else, which needs no further shuffle to make pairs distinct. If the bound
     reaches the length every pair is a result, and the join is the plain product.
+    A segment that a large share of the kmers has (a conserved stretch) is dealt
+    over ``SALTS`` tasks, its reads repeated for each.
     """
     a = kmers.select(F.col("id").alias("kmer"), F.col("sequence").alias("a"))
     b = reads.select(F.col("id").alias("asv"), F.col("sequence").alias("b"))
@@ -38,7 +43,9 @@ def hamming_join(kmers: DataFrame, reads: DataFrame, length: int, max_mismatch:
     right = b.withColumn("sb", segments("b")).select("asv", "b", "sb", F.posexplode("sb").alias("k", "segment"))
     earlier = F.exists(F.zip_with("sa", "sb", lambda x, y: x == y), lambda e: e)
     agreed = F.array_position(F.zip_with("sa", "sb", lambda x, y: x == y), F.lit(True)) - 1
-    pairs = left.join(right, ["k", "segment"]).where(earlier & (agreed == F.col("k")))
+    left = left.withColumn("salt", F.pmod(F.xxhash64("kmer"), F.lit(SALTS)).cast("int"))
+    right = right.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    pairs = left.join(right, ["k", "segment", "salt"]).where(earlier & (agreed == F.col("k")))
     return pairs.withColumn("mismatch", iupac.hamming("a", "b")).where(F.col("mismatch") <= max_mismatch).select("kmer", "asv", "mismatch")
 
 

@@ -94,6 +94,28 @@ def detangle(edges: DataFrame) -> DataFrame:
     return stay.groupBy("i").agg(iupac.join_ids(F.collect_set("j")).alias("clean_name")).withColumnRenamed("i", "db_seq")
 
 
+def detangle_groups(owners: DataFrame, sets: DataFrame) -> DataFrame:
+    """``detangle`` of every owner's set, once for each signature: owners of one
+    signature have one set, so they have one degree, penalty and name. A group of
+    equal sequences costs as many rows as it has members, not their square.
+
+    An owner that its own set lacks gets a signature of its own.
+    """
+    odd = owners.join(sets.select("sig", F.col("j").alias("db_seq")), ["sig", "db_seq"], "left_anti")
+    if not odd.isEmpty():
+        odd = odd.withColumn("own", F.concat_ws(":", "sig", "db_seq"))
+        sets = sets.union(odd.join(sets, "sig").select("own", "j")).union(odd.select("own", "db_seq"))
+        owners = owners.join(odd, ["sig", "db_seq"], "left_anti").select("db_seq", "sig").union(odd.select("db_seq", "own"))
+    members = settle(sets.join(owners.select(F.col("db_seq").alias("j"), F.col("sig").alias("sig_j")), "j"))
+    near = members.groupBy("sig", "sig_j").agg(F.count("*").alias("n"))
+    degree = near.groupBy("sig").agg(F.sum("n").alias("deg"))
+    least = near.join(degree.withColumnsRenamed({"sig": "sig_j", "deg": "deg_j"}), "sig_j").groupBy("sig").agg(F.min("deg_j").alias("least"))
+    penalty = settle(degree.join(least, "sig").select("sig", (F.col("deg") - F.col("least") + 1).alias("pen")))
+    stay = near.join(penalty, "sig").join(penalty.withColumnsRenamed({"sig": "sig_j", "pen": "pen_j"}), "sig_j").where("pen = pen_j")
+    names = members.join(stay.select("sig", "sig_j"), ["sig", "sig_j"], "left_semi").groupBy("sig").agg(iupac.join_ids(F.collect_set("j")).alias("clean_name"))
+    return owners.join(names, "sig").select("db_seq", "clean_name")
+
+
 def solve_names(kmers: DataFrame, strict_round2: bool = False) -> DataFrame:
     """(db_seq, clean_name) of every sequence.
 
@@ -107,9 +129,7 @@ def solve_names(kmers: DataFrame, strict_round2: bool = False) -> DataFrame:
         again = settle(tidy_names(owners, sets))
         owners, sets = map(settle, without(owners, sets, again))
         solved = solved.union(again)
-    edges = owners.join(sets, "sig").select(F.col("db_seq").alias("i"), "j")
-    alone = owners.select(F.col("db_seq").alias("i"), F.col("db_seq").alias("j"))
-    return solved.unionByName(detangle(settle(edges.union(alone).distinct())))
+    return solved.unionByName(detangle_groups(owners, sets))
 
 
 def database_map(kmers: DataFrame, names: DataFrame) -> DataFrame:

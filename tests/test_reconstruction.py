@@ -1,10 +1,8 @@
-"""Expected values of the reconstruction's operators."""
-
-import statistics
+"""Expected values of the reconstruction's operators; sequences and results in them are fixed values."""
 
 import numpy as np
 import pytest
-from fixtures import FIRST_REGION, LAST_REGION, PRIMERS, REGIONS, THREE_NAMES, THREE_SUMMARY, three_regions, two_regions
+from fixtures import REGIONS, THREE_DATABASE, THREE_SUMMARY, three_regions, two_regions
 from pyspark.sql import functions as F
 
 from strandloom import schemas
@@ -73,22 +71,9 @@ def test_align_bounds(spark):
 def test_database_three_regions(spark):
     maps, aligned = three_regions(spark)
     found, summary = database.reconstruct_database(["0", "1", "2"], aligned, maps)
-    rows = {r.db_seq: r for r in found.collect()}
-    assert len(rows) == 24
-    lengths = [50, 75, 25]
-    for s, r in rows.items():
-        first, last = FIRST_REGION.get(s, 0), LAST_REGION.get(s, 1)
-        assert tuple(r) == (s, THREE_NAMES.get(s, s), first, PRIMERS[str(first)][0], last, PRIMERS[str(last)][0], lengths[last])
-    want = {}
-    for line in THREE_SUMMARY.replace("\n", " ").split(";"):
-        name, n, asvs = line.split()
-        n = list(map(int, n.split(",")))
-        want[name] = (len(n), sum(n), statistics.mean(n), statistics.stdev(n) if len(n) > 1 else 0, "|".join(f"asv_{a}" for a in asvs.split("|")))
-    got = {r.feature_id: (r.num_regions, r.total_kmers_mapped, r.mean_kmer_per_region, r.stdv_kmer_per_region, r.mapped_asvs) for r in summary.collect()}
-    assert got.keys() == want.keys()
-    for name, w in want.items():
-        assert (got[name][:3], got[name][4]) == (w[:3], w[4])
-        assert got[name][3] == pytest.approx(w[3])
+    assert pairs(found, *schemas.DATABASE_MAP.names) == THREE_DATABASE
+    got = pairs(summary, *schemas.SUMMARY.names)
+    assert [(*r[:4], round(r[4], 6), r[5]) for r in got] == sorted(THREE_SUMMARY)
 
 
 def test_database_two_regions_without_variants(spark):
@@ -115,6 +100,20 @@ def test_detangle(spark):
     assert pairs(database.detangle(edges), "db_seq", "clean_name") == sorted((i, merged.get(i, i)) for i in sets)
 
 
+def test_detangling_groups_equals_detangling_edges(spark):
+    rng = np.random.default_rng(3)
+    for seed in range(3):
+        sigs = [f"g{rng.integers(0, 6)}" for _ in range(14)]
+        owners = [(f"s{k:02}", s) for k, s in enumerate(sigs)]
+        sets = {(s, f"s{k:02}") for s in set(sigs) for k in range(14) if rng.random() < 0.3}
+        if seed:  # all in their own sets
+            sets |= {(s, i) for i, s in owners}
+        edges = {(i, j) for i, s in owners for t, j in sets if s == t} | {(i, i) for i, _ in owners}
+        want = pairs(database.detangle(spark.createDataFrame(sorted(edges), "i string, j string")), "db_seq", "clean_name")
+        found = database.detangle_groups(spark.createDataFrame(owners, "db_seq string, sig string"), spark.createDataFrame(sorted(sets), "sig string, j string"))
+        assert pairs(found, "db_seq", "clean_name") == want
+
+
 @pytest.mark.parametrize(("strict", "want"), [(False, ["a|b", "a|b", "c", "d", "t"]), (True, ["a|b", "a|b", "c|d", "c|d", "t"])])
 def test_second_round(spark, strict, want):
     sets = {"t": "t", "a": "a b t", "b": "a b t", "c": "a b c d t", "d": "c d t"}
@@ -186,25 +185,88 @@ def test_em_one_sample():
         counts.solve_em(row, column, dense[row, column], y, 0.99)
 
 
+# Taxonomies, and what each (define_missing, ambiguity_handling) makes of them, a line for each group.
+# fmt: off
 GROUPS = [["seq01"], ["seq03", "seq04"], ["seq06", "seq07"], ["seq08", "seq09", "seq10"], ["seq12"], ["seq13", "seq14"]]
-GG = {
-    "seq01": "Civillian f__ g__ s__", "seq03": "Batfamily f__Batgirl g__Gordon s__Barbara", "seq04": "Batfamily f__Batgirl g__Gordon s__Barbara",
-    "seq06": "Batfamily f__Oracle g__Gordon s__", "seq07": "Batfamily f__Oracle g__ s__", "seq08": "Batfamily f__Batman g__ s__",
-    "seq09": "Batfamily f__Batman g__Wayne s__Bruce", "seq10": "Batfamily f__Batman g__Grayson s__", "seq12": "Batfamily f__Robin g__Grayson s__Dick",
-    "seq13": "Batfamily f__Robin g__Todd s__", "seq14": "Batfamily f__Robin g__Drake s__",
-}
-GG_WANT = {
-    ("ignore", "ignore"): ["Civillian f__ g__ s__", "Batfamily f__Batgirl g__Gordon s__Barbara", "Batfamily f__Oracle g__|g__Gordon =", "Batfamily f__Batman g__|g__Grayson|g__Wayne =", "Batfamily f__Robin g__Grayson s__Dick", "Batfamily f__Robin g__Drake|g__Todd ="],
-    ("inherit", "missing"): ["Civillian o__Civillian = =", "Batfamily f__Batgirl g__Gordon s__Barbara", "Batfamily f__Oracle f__Oracle|g__Gordon =", "Batfamily f__Batman f__Batman|g__Grayson|g__Wayne =", "Batfamily f__Robin g__Grayson s__Dick", "Batfamily f__Robin g__Drake|g__Todd ="],
-    ("merge", "ignore"): ["Civillian o__Civillian = =", "Batfamily f__Batgirl g__Gordon s__Barbara", "Batfamily f__Oracle g__Gordon =", "Batfamily f__Batman g__Grayson|g__Wayne =", "Batfamily f__Robin g__Grayson s__Dick", "Batfamily f__Robin g__Drake|g__Todd ="],
+GREENGENES = {
+    "seq01": "k__DCU; p__Superhero; c__Gotham; o__Civillian; f__; g__; s__",
+    "seq03": "k__DCU; p__Superhero; c__Gotham; o__Batfamily; f__Batgirl; g__Gordon; s__Barbara",
+    "seq04": "k__DCU; p__Superhero; c__Gotham; o__Batfamily; f__Batgirl; g__Gordon; s__Barbara",
+    "seq06": "k__DCU; p__Superhero; c__Gotham; o__Batfamily; f__Oracle; g__Gordon; s__",
+    "seq07": "k__DCU; p__Superhero; c__Gotham; o__Batfamily; f__Oracle; g__; s__",
+    "seq08": "k__DCU; p__Superhero; c__Gotham; o__Batfamily; f__Batman; g__; s__",
+    "seq09": "k__DCU; p__Superhero; c__Gotham; o__Batfamily; f__Batman; g__Wayne; s__Bruce",
+    "seq10": "k__DCU; p__Superhero; c__Gotham; o__Batfamily; f__Batman; g__Grayson; s__",
+    "seq12": "k__DCU; p__Superhero; c__Gotham; o__Batfamily; f__Robin; g__Grayson; s__Dick",
+    "seq13": "k__DCU; p__Superhero; c__Gotham; o__Batfamily; f__Robin; g__Todd; s__",
+    "seq14": "k__DCU; p__Superhero; c__Gotham; o__Batfamily; f__Robin; g__Drake; s__",
 }
-
-
-def levels(text, prefix):
-    out = []
-    for w in text.split():
-        out.append(out[-1] if w == "=" else f"o__{w}" if not out else w)
-    return prefix + out
+GREENGENES_WANT = {
+    ("ignore", "ignore"): [
+        "k__DCU; p__Superhero; c__Gotham; o__Civillian; f__; g__; s__",
+        "k__DCU; p__Superhero; c__Gotham; o__Batfamily; f__Batgirl; g__Gordon; s__Barbara",
+        "k__DCU; p__Superhero; c__Gotham; o__Batfamily; f__Oracle; g__|g__Gordon; g__|g__Gordon",
+        "k__DCU; p__Superhero; c__Gotham; o__Batfamily; f__Batman; g__|g__Grayson|g__Wayne; g__|g__Grayson|g__Wayne",
+        "k__DCU; p__Superhero; c__Gotham; o__Batfamily; f__Robin; g__Grayson; s__Dick",
+        "k__DCU; p__Superhero; c__Gotham; o__Batfamily; f__Robin; g__Drake|g__Todd; g__Drake|g__Todd",
+    ],
+    ("inherit", "missing"): [
+        "k__DCU; p__Superhero; c__Gotham; o__Civillian; o__Civillian; o__Civillian; o__Civillian",
+        "k__DCU; p__Superhero; c__Gotham; o__Batfamily; f__Batgirl; g__Gordon; s__Barbara",
+        "k__DCU; p__Superhero; c__Gotham; o__Batfamily; f__Oracle; f__Oracle|g__Gordon; f__Oracle|g__Gordon",
+        "k__DCU; p__Superhero; c__Gotham; o__Batfamily; f__Batman; f__Batman|g__Grayson|g__Wayne; f__Batman|g__Grayson|g__Wayne",
+        "k__DCU; p__Superhero; c__Gotham; o__Batfamily; f__Robin; g__Grayson; s__Dick",
+        "k__DCU; p__Superhero; c__Gotham; o__Batfamily; f__Robin; g__Drake|g__Todd; g__Drake|g__Todd",
+    ],
+    ("merge", "ignore"): [
+        "k__DCU; p__Superhero; c__Gotham; o__Civillian; o__Civillian; o__Civillian; o__Civillian",
+        "k__DCU; p__Superhero; c__Gotham; o__Batfamily; f__Batgirl; g__Gordon; s__Barbara",
+        "k__DCU; p__Superhero; c__Gotham; o__Batfamily; f__Oracle; g__Gordon; g__Gordon",
+        "k__DCU; p__Superhero; c__Gotham; o__Batfamily; f__Batman; g__Grayson|g__Wayne; g__Grayson|g__Wayne",
+        "k__DCU; p__Superhero; c__Gotham; o__Batfamily; f__Robin; g__Grayson; s__Dick",
+        "k__DCU; p__Superhero; c__Gotham; o__Batfamily; f__Robin; g__Drake|g__Todd; g__Drake|g__Todd",
+    ],
+}
+SILVA = {
+    "seq01": "DCU;Superhero;Civillian;ambigious;ambigious;ambigious",
+    "seq03": "DCU;Superhero;Bat;Batgirl;Gordon;Barbara",
+    "seq04": "DCU;Superhero;Bat;Batgirl;Gordon;Barbara",
+    "seq06": "DCU;Superhero;Bat;Oracle;Gordon;bat_metagenome",
+    "seq07": "DCU;Superhero;Bat;Oracle;bat_metagenome;bat_metagenome",
+    "seq08": "DCU;Superhero;Bat;Batman;ambigious;ambigious",
+    "seq09": "DCU;Superhero;Bat;Batman;Wayne;Bruce",
+    "seq10": "DCU;Superhero;Bat;Batman;Grayson;ambigious",
+    "seq12": "DCU;Superhero;Bat;Robin;Grayson;Dick",
+    "seq13": "DCU;Superhero;Bat;Robin;Todd;uncultured",
+    "seq14": "DCU;Superhero;Bat;Robin;Drake;uncultured",
+}
+SILVA_WANT = {
+    ("ignore", "ignore"): [
+        "DCU;Superhero;Civillian;ambigious;ambigious;ambigious",
+        "DCU;Superhero;Bat;Batgirl;Gordon;Barbara",
+        "DCU;Superhero;Bat;Oracle;Gordon|bat_metagenome;Gordon|bat_metagenome",
+        "DCU;Superhero;Bat;Batman;Grayson|Wayne|ambigious;Grayson|Wayne|ambigious",
+        "DCU;Superhero;Bat;Robin;Grayson;Dick",
+        "DCU;Superhero;Bat;Robin;Drake|Todd;Drake|Todd",
+    ],
+    ("inherit", "missing"): [
+        "DCU;Superhero;Civillian;Civillian;Civillian;Civillian",
+        "DCU;Superhero;Bat;Batgirl;Gordon;Barbara",
+        "DCU;Superhero;Bat;Oracle;Gordon|Oracle;Gordon|Oracle",
+        "DCU;Superhero;Bat;Batman;Batman|Grayson|Wayne;Batman|Grayson|Wayne",
+        "DCU;Superhero;Bat;Robin;Grayson;Dick",
+        "DCU;Superhero;Bat;Robin;Drake|Todd;Drake|Todd",
+    ],
+    ("merge", "ignore"): [
+        "DCU;Superhero;Civillian;ambigious;ambigious;ambigious",
+        "DCU;Superhero;Bat;Batgirl;Gordon;Barbara",
+        "DCU;Superhero;Bat;Oracle;Gordon;Gordon",
+        "DCU;Superhero;Bat;Batman;Grayson|Wayne|ambigious;Grayson|Wayne|ambigious",
+        "DCU;Superhero;Bat;Robin;Grayson;Dick",
+        "DCU;Superhero;Bat;Robin;Drake|Todd;Drake|Todd",
+    ],
+}
+# fmt: on
 
 
 def taxa_map(spark):
@@ -212,37 +274,10 @@ def taxa_map(spark):
 
 
 @pytest.mark.filterwarnings("ignore")
-@pytest.mark.parametrize(("how", "want"), GG_WANT.items())
-def test_taxonomy_greengenes(spark, how, want):
-    top = ["k__DCU", "p__Superhero", "c__Gotham"]
-    taxa = spark.createDataFrame([(s, "; ".join(levels(t, top))) for s, t in GG.items()], schemas.TAXONOMY)
-    found = taxonomy.reconstruct_taxonomy(taxa_map(spark), taxa, "greengenes", *how)
-    assert pairs(found, "feature_id", "taxon") == [("|".join(g), "; ".join(levels(w, top))) for g, w in zip(GROUPS, want, strict=True)]
-
-
-SILVA = {
-    "seq01": "Civillian ambigious ambigious ambigious", "seq03": "Bat Batgirl Gordon Barbara", "seq04": "Bat Batgirl Gordon Barbara", "seq06": "Bat Oracle Gordon bat_metagenome",
-    "seq07": "Bat Oracle bat_metagenome bat_metagenome", "seq08": "Bat Batman ambigious ambigious", "seq09": "Bat Batman Wayne Bruce", "seq10": "Bat Batman Grayson ambigious",
-    "seq12": "Bat Robin Grayson Dick", "seq13": "Bat Robin Todd uncultured", "seq14": "Bat Robin Drake uncultured",
-}
-SILVA_WANT = {
-    ("ignore", "ignore"): ["Civillian ambigious ambigious ambigious", "Bat Batgirl Gordon Barbara", "Bat Oracle Gordon|bat_metagenome =", "Bat Batman Grayson|Wayne|ambigious =", "Bat Robin Grayson Dick", "Bat Robin Drake|Todd ="],
-    ("inherit", "missing"): ["Civillian = = =", "Bat Batgirl Gordon Barbara", "Bat Oracle Gordon|Oracle =", "Bat Batman Batman|Grayson|Wayne =", "Bat Robin Grayson Dick", "Bat Robin Drake|Todd ="],
-    ("merge", "ignore"): ["Civillian ambigious ambigious ambigious", "Bat Batgirl Gordon Barbara", "Bat Oracle Gordon =", "Bat Batman Grayson|Wayne|ambigious =", "Bat Robin Grayson Dick", "Bat Robin Drake|Todd ="],
-}
-
-
-@pytest.mark.parametrize(("how", "want"), SILVA_WANT.items())
-def test_taxonomy_silva(spark, how, want):
-    def path(text):
-        out = ["DCU", "Superhero"]
-        for w in text.split():
-            out.append(out[-1] if w == "=" else w)
-        return ";".join(out)
-
-    taxa = spark.createDataFrame([(s, path(t)) for s, t in SILVA.items()], schemas.TAXONOMY)
-    found = taxonomy.reconstruct_taxonomy(taxa_map(spark), taxa, "silva", *how)
-    assert pairs(found, "feature_id", "taxon") == [("|".join(g), path(w)) for g, w in zip(GROUPS, want, strict=True)]
+@pytest.mark.parametrize(("database", "taxa", "how", "want"), [("greengenes", GREENGENES, *x) for x in GREENGENES_WANT.items()] + [("silva", SILVA, *x) for x in SILVA_WANT.items()])
+def test_taxonomy(spark, database, taxa, how, want):
+    found = taxonomy.reconstruct_taxonomy(taxa_map(spark), spark.createDataFrame(list(taxa.items()), schemas.TAXONOMY), database, *how)
+    assert pairs(found, "feature_id", "taxon") == [("|".join(g), w) for g, w in zip(GROUPS, want, strict=True)]
 
 
 def test_taxonomy_warnings_and_errors(spark):
