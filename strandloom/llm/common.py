@@ -57,13 +57,21 @@ class Shelf:
 
     def __init__(self, spark: SparkSession):
         self.spark, self.base = spark, shared_dir(spark)
+        self.names: set[str] = set()
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.base}/{name}"
+        self.names.add(name)
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def keep(self, *names: str) -> None:
+        """Drop all but these."""
+        for name in self.names.difference(names):
+            self.drop(name)
+
     def drop(self, name: str) -> None:
+        self.names.discard(name)
         jvm = self.spark.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}")
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

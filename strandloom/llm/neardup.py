@@ -44,6 +44,8 @@ MISS, MOST_BANDS = 1e-6, 64
 RARE = 32
 #: Longs in a parity sketch of a set.
 SKETCH = 8
+#: Pairs whose ids may be sent to all tasks.
+FEW_PAIRS = 50_000
 #: Rounds of further hubs, for buckets of more rows than this.
 ROUNDS, SMALL = 4, 8
 REMEMBERED = 400_000
@@ -159,7 +161,15 @@ def shingle_sets(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those rows of ``pairs`` (x, y and others) whose sets meet the threshold, confirmed on full sets."""
+    """Those rows of the written table ``pairs`` (x, y and others) whose sets meet the
+    threshold, confirmed on full sets.
+
+    The sets of a few pairs are picked out where they lie: their ids, a bounded
+    number, are sent to all tasks.
+    """
+    if pairs.count() <= FEW_PAIRS:
+        few = pairs.select(F.col("x").alias("id")).union(pairs.select("y")).distinct()
+        sets = sets.join(F.broadcast(few), "id", "left_semi")
     a = sets.select(F.col("id").alias("x"), F.col("shingles").alias("a"))
     b = sets.select(F.col("id").alias("y"), F.col("shingles").alias("b"))
     na, nb = F.size("a"), F.size("b")
@@ -248,11 +258,14 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     hubs = shelf.put(ranked.groupBy("band").agg(F.max("rank").alias("hub")), "hubs")
     stars = shelf.put(ranked.join(hubs, "band").groupBy("x").agg(F.max("hub").alias("hub")).select("x", F.col("hub.y").alias("y")), "stars")
     sets = shelf.put(shingle_sets(docs.join(stars.select(F.col("x").alias(key)).hint("merge"), key, "left_semi"), key, text, words).dropDuplicates(["id"]), "sets")
-    label = rooted(verified(stars.where("x <> y"), sets, percent).select(F.col("x").alias("id"), F.col("y").alias("label")), shelf, "first")
+    starred = shelf.put(stars.where("x <> y"), "starred")
+    label = rooted(verified(starred, sets, percent).select(F.col("x").alias("id"), F.col("y").alias("label")), shelf, "first")
 
     for step in range(ROUNDS):
         open_ = shelf.put(labelled(members.where(F.col("rows") > SMALL), label), f"open{step}")
-        links = shelf.put(verified(hub_pairs(open_, step), sets, percent), f"links{step}")
+        pairs = shelf.put(hub_pairs(open_, step), f"pairs{step}")
+        links = shelf.put(verified(pairs, sets, percent), f"links{step}")
+        shelf.drop(f"open{step}")
         if links.isEmpty():
             break
         label = shelf.put(relabelled(label, components(links.select(F.col("label").alias("a"), F.col("other").alias("b")), shelf, f"hub{step}")), f"label{step}")
@@ -265,7 +278,8 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
         if not found.isEmpty():
             label = shelf.put(relabelled(label, components(found.select(F.col("label").alias("a"), F.col("other").alias("b")), shelf, f"{name}-merge")), f"{name}-label")
     least = label.groupBy("label").agg(F.min("id").alias("m")).select("label", F.least("m", "label").alias("least"))
-    named = label.join(least, "label").select("id", "least").union(least.select("label", "least"))
+    named = shelf.put(label.join(least, "label").select("id", "least").union(least.select("label", "least")), "named")
+    shelf.keep("signed", "named")
 
     def reached(whole: DataFrame) -> DataFrame:
         known = named.select(F.col("id").alias("__head"), "least")
