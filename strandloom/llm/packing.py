@@ -63,8 +63,6 @@ AT_ONCE = 4096
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 _U64 = np.uint64
-_WHITE = np.zeros(256, bool)
-_WHITE[[*range(9, 14), *range(28, 33)]] = True
 #: White space of more than one byte, and U+180E, in UTF-8.
 _WIDE = [chr(c).encode() for c in (0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
 
@@ -168,14 +166,14 @@ def distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def irregular(raw: list[bytes]) -> np.ndarray:
     """Which texts have white space other than single blanks and line ends between
-    other characters, or a long piece between blanks."""
+    other characters, control characters, or a long piece between blanks."""
     joined = b"\n".join([b"", *raw, b""])
     buffer = np.frombuffer(joined, np.uint8)
     first = np.cumsum([1, *(len(r) + 1 for r in raw)])
     out = np.zeros(len(raw) + 1, bool)
-    white = _WHITE[buffer]
+    white = buffer <= 32
     twice = np.flatnonzero(white[:-1] & white[1:])
-    for at in (twice, twice + 1, np.flatnonzero(white & (buffer != 32) & (buffer != 10))):
+    for at in (twice, twice + 1, np.flatnonzero((buffer < 32) & (buffer != 10))):
         own = np.searchsorted(first, at, side="right") - 1
         own, at = own[own >= 0], at[own >= 0]
         out[own[at < first[np.minimum(own + 1, len(raw))] - 1]] = True
@@ -202,6 +200,12 @@ class Encoder:
         for token, k in vocabulary.items():
             self.bytes[k] = len(token)  # a byte-level token has a character for each byte
 
+    @staticmethod
+    @functools.lru_cache(2)
+    def of(path: str) -> Encoder:
+        """One for all tasks of a worker; it remembers nothing of the texts."""
+        return Encoder(path)
+
     def direct(self, raw: list[bytes]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast([r.decode() for r in raw], add_special_tokens=False)]
 
@@ -415,6 +419,12 @@ def corpus_weights(rows: DataFrame) -> tuple[Weights, int, int]:
     return Weights(documents, words, df), documents, size
 
 
+@functools.lru_cache(1)
+def draws() -> np.ndarray:
+    """An exponential number for each slot and each of ``PLACES`` draws."""
+    return np.random.default_rng(SEED + 1).exponential(size=(PLACES, SLOTS)).astype(np.float32)
+
+
 def places(raw: list[bytes], ties: np.ndarray, weights: Weights, hasher: Hasher, drawn: np.ndarray) -> np.ndarray:
     """Each document's place on the line: 16 bits each of the words that win ``PLACES``
     draws weighted by BM25, and 16 bits of ``ties``."""
@@ -443,7 +453,7 @@ def placed(rows: DataFrame, weights: Weights, cuts: np.ndarray | None) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, cuts = sent.value
-        hasher, drawn = Hasher(), np.random.default_rng(SEED + 1).exponential(size=(PLACES, SLOTS)).astype(np.float32)
+        hasher, drawn = Hasher(), draws()
         for b in batches:
             for part in slices(b, "text"):
                 raw = part.column(1).to_pylist()
@@ -510,7 +520,7 @@ def pack(docs: DataFrame, tokenizer_path: str, *, key: str = "doc_id", text: str
         from pyspark.sql.pandas.types import to_arrow_schema
 
         arrow = [f.type for f in to_arrow_schema(kinds)]
-        encoder, sequence = Encoder(tokenizer_path), TaskContext.get().partitionId() << 40
+        encoder, sequence = Encoder.of(tokenizer_path), TaskContext.get().partitionId() << 40
         for keys, raw in shards(batches):
             ids = [np.append(i, END).astype("<u4") for i in encoder.encode(raw)]
             near = scores(*words_of(raw, encoder.hasher), len(raw), sent.value)
