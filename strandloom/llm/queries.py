@@ -21,4 +21,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_licenses": licenses.op10_licenses,
 }
 
-SQL: dict[str, str] = {**decontaminate.SQL, **exactdedup.SQL, **licenses.SQL, **warc.SQL}
+SQL: dict[str, str] = {**decontaminate.SQL, **exactdedup.SQL, **licenses.SQL, **neardup.SQL, **warc.SQL}

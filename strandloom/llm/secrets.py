@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from math import log2
 
 import pyarrow as pa
@@ -86,8 +87,10 @@ def entropy_spans(text: str) -> list[tuple[int, int]]:
             harmless.append(m.span())
         elif any(c.isdigit() for c in run) and not WORDY.fullmatch(run):
             spans += [(m.start() + b, m.start() + e) for b, e in dense_spans(run, wide_limit)]
+    begins = [b for b, _ in harmless]
     for m in hexes.finditer(text):
-        if not any(b <= m.start() and m.end() <= e for b, e in harmless):
+        at = bisect_right(begins, m.start()) - 1  # runs are apart, so only the last that begins before can hold it
+        if at < 0 or m.end() > harmless[at][1]:
             spans += [(m.start() + b, m.start() + e) for b, e in dense_spans(m.group(), hex_limit)]
     out: list[tuple[int, int]] = []
     for b, e in sorted(spans):

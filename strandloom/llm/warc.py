@@ -195,7 +195,10 @@ def plan_records(pages: DataFrame, *, key: str = "page_id", url: str = "url", pa
 
 
 def write_archives(planned: DataFrame, base: str) -> DataFrame:
-    """Write the records that ``plan_records`` made; a lazy table of uri, records, bytes."""
+    """Write the records that ``plan_records`` made; a lazy table of uri, records, bytes.
+
+    Without records nothing is written and the table is empty.
+    """
     small_batches(planned.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,6 +216,7 @@ def read_archives(archives: DataFrame, *, with_payload: bool = False) -> DataFra
 
     page_id, payload_bytes and payload_digest are of the full payload: a response's are
     computed from what was read and must equal its headers; a revisit's are its headers'.
+    Without archives there are no records.
     """
     schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * with_payload
     names = [x.split()[0] for x in schema.split(", ")]
