@@ -4,7 +4,8 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 as Parquet and read again as the next stage's ``docs``. All but the last return
 the columns of ``docs``, whatever those are. Keys are unique; of rows that repeat
 a key one stays after the exact copies are removed. A row without a key can't be
-named by a stage that compares documents, and stays.
+named by a stage that compares documents, and stays. Null texts count as empty,
+very long ones are read whole, and an empty table stays empty in every stage.
 """
 
 from __future__ import annotations
@@ -25,7 +26,11 @@ WORDS, PERCENT = 5, 80
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
+    """Documents that the classifier rejects go.
+
+    Null and empty texts are scored as any other; rows that repeat a text get one
+    answer. Without labels of both classes nothing goes.
+    """
     net = fit_quality(docs, table(spark, sf_dir, "labels"))
     scored = score_quality(docs, net, score="__quality")
     return scored.where(F.col("__quality") >= 0.5).drop("__quality")
@@ -46,13 +51,19 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of a benchmark item go."""
+    """Documents that hold a window of a benchmark item go.
+
+    Null and wordless texts hold none and stay. An empty benchmark drops nothing.
+    """
     found = find_leaks(docs, table(spark, sf_dir, "benchmark"), prefix="__leak_")
     return found.where(F.size("__leak_hit_spans") == 0).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What is left, in sequences of tokens."""
+    """What is left, in sequences of tokens.
+
+    Every row has its pieces, a null or empty text one of its end id alone.
+    """
     return pack(docs, public_tokenizers.path(VOCABULARY))
 
 
