@@ -68,6 +68,36 @@ def test_near_copies_of_nothing(frame):
     assert [r.component_id for r in neardup.near_duplicates(frame([(7, "a b c d e f")])).collect()] == [7]
 
 
+def test_near_copies_without_keys(frame):
+    rows = [(None, "a b c d"), (1, "a b c d"), (2, "A b c d"), (None, "x y z"), (None, "x y z"), (None, None), (None, "")]
+    found = neardup.near_duplicates(frame(rows), words=3, percent=85).collect()
+    assert sorted((r.n_shingles, r.component_id) for r in found if r.component_id is not None) == [(2, 1), (2, 1), (2, 1)]
+    assert sorted(r.n_shingles for r in found if r.component_id is None) == [0, 0, 1, 1]
+
+
+def test_a_large_group_makes_few_pairs(frame, monkeypatch):
+    rng = random.Random(9)
+    words = [f"w{k}" for k in range(3000)]
+    base = [rng.choice(words) for _ in range(200)]
+    rows = []
+    for k in range(300):
+        t = list(base)
+        t[rng.randrange(200)] = rng.choice(words)
+        rows.append((k, " ".join(t)))
+    counts, put = {}, neardup.Shelf.put
+
+    def counted(self, df, name):
+        out = put(self, df, name)
+        if name in ("starred", "own", "further") or name.startswith("pairs"):
+            counts[name] = out.count()
+        return out
+
+    monkeypatch.setattr(neardup.Shelf, "put", counted)
+    found = neardup.near_duplicates(frame(rows), words=5, percent=80).collect()
+    assert {r.component_id for r in found} == {0}
+    assert sum(counts.values()) <= 2 * len(rows)
+
+
 def test_circulant_signatures_estimate_similarity():
     rng = np.random.default_rng(1)
     circle = neardup.Circulant(5, 25)
@@ -355,3 +385,32 @@ def test_pipeline(spark, tables):
     assert len([1 for r in found if r.start == 0]) == len(want)
     empty = tables(documents=docs.limit(0), labels=labels.limit(0), benchmark=spark.createDataFrame([], "item_id long, text string"))
     assert corpus_pipeline.run(spark, empty).isEmpty()
+
+
+def test_pipeline_of_odd_rows(spark, tables):
+    """Without labels nothing is rejected; columns whose names the operators use pass through."""
+    import corpus_pipeline
+
+    rng = random.Random(13)
+    words = [f"w{k}" for k in range(900)]
+
+    def prose(n):
+        return " ".join(rng.choice(words) for _ in range(n))
+
+    base = prose(200).split()
+    near = []
+    for k in range(40):
+        t = list(base)
+        t[rng.randrange(200)] = "other"
+        near.append((301 + k, " ".join(t)))
+    rows = [(k, prose(80)) for k in range(20)] + [(100, None), (101, ""), (102, " \n"), (103, prose(60_000)), (300, " ".join(base)), *near]
+    kind = "doc_id long, text string, Score double, slot long, N_Words long, hit_spans string, component_id long, `a.b` string"
+    docs = spark.createDataFrame([(k, t, 0.1, 2, 3, "x", 4, "y") for k, t in rows], kind).repartition(3)
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    sf = tables(documents=docs, labels=labels, benchmark=spark.createDataFrame([(1, None)], "item_id long, text string"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, spark.read.parquet(f"{sf}/documents.parquet"), sf)
+        assert docs.columns == ["doc_id", "text", "Score", "slot", "N_Words", "hit_spans", "component_id", "a.b"], name
+    found = corpus_pipeline.run(spark, sf).collect()
+    assert {r.doc_id for r in found} == set(range(20)) | {101, 102, 103, 300}
+    assert sum(r.length for r in found if r.doc_id == 103) == next(r.doc_tokens for r in found if r.doc_id == 103) > 60_000
