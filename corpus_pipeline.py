@@ -95,4 +95,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = shelf.put(docs, f"{k}-{name}")
+            shelf.keep(f"{k}-{name}")
     return docs
