@@ -50,6 +50,6 @@ def test_detangling_takes_all_lines(spark):
         sets.setdefault(j, {j})
     penalty = {i: len(own) - min(len(sets[j]) for j in own) + 1 for i, own in sets.items()}
     want = {i: "|".join(sorted(j for j in own if penalty[j] == penalty[i])) for i, own in sets.items()}
-    found = catalog.QUERIES["detangle_lineitem"](spark, SF_DIR).collect()
+    found = catalog.QUERIES["detangle_names"](spark, SF_DIR).collect()
     assert len(found) == len(want) > 97
     assert {r.db_seq: r.clean_name for r in found} == want
