@@ -48,19 +48,26 @@ PART_BYTES, MOST_PARTS = 4 << 20, 1 << 16
 SAMPLED = 64
 #: Hashed words are counted in so many slots; words that share one share its count.
 SLOTS = 1 << 20
+#: Counts move in so many blocks of slots.
+BLOCKS = 1024
 #: Words that decide a document's place.
 PLACES = 3
 #: Terms held as dense rows: the most, and the share of a shard's documents that each has.
 DENSE_TERMS, DENSE_SHARE = 1500, 0.06
-#: Pairs of documents that light terms score at once.
+#: Entries of light terms' lists that are summed at once.
 SCORED = 4 << 20
 K1, B = 1.2, 0.75
 #: Bytes of a piece of text that is encoded once for all its places; texts with longer ones are encoded whole.
 LONGEST = 400
 #: Pieces that are encoded in one call.
 AT_ONCE = 4096
+#: Pieces and ids that a worker remembers; beyond that, those that only one shard had go.
+REMEMBERED, REMEMBERED_IDS = 1 << 19, 1 << 21
 #: How texts are cut before merging; fixed value of byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Cuts the same where no two characters of white space meet and none ends the text; without
+#: the look ahead it is matched in linear time and several times as fast.
+PLAIN_PATTERN = PATTERN.replace(r"|\s+(?!\S)", "")
 
 _U64 = np.uint64
 #: White space of more than one byte, and U+180E, in UTF-8.
@@ -129,8 +136,9 @@ def load_tokenizer(path: str):
 
 @functools.lru_cache(2)
 def load_merger(path: str):
-    """The same vocabulary for tiktoken, which merges words several times as fast; None
-    if the file is not a byte-level BPE with ``PATTERN`` whose ids follow its merges."""
+    """The same vocabulary for tiktoken, which merges words several times as fast, for
+    texts that are not ``irregular``; None if the file is not a byte-level BPE with
+    ``PATTERN`` whose ids follow its merges."""
     import tiktoken
 
     with open(path, encoding="utf-8") as f:
@@ -148,7 +156,7 @@ def load_merger(path: str):
     others = [b for b in range(256) if b not in plain]
     byte = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(others)}
     ranks = {bytes(byte[c] for c in token): k for token, k in vocabulary.items()}
-    return tiktoken.Encoding("pieces", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("pieces", pat_str=PLAIN_PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 def distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -191,7 +199,11 @@ class Encoder:
     BPE with this pattern never merges over a single blank between two other
     characters, which begins a token with what follows; so texts are split there,
     and each distinct piece of a shard is encoded once, many in one call: the
-    tokens' lengths in bytes tell where a piece ends."""
+    tokens' lengths in bytes tell where a piece ends. A worker remembers the ids of
+    pieces for its next shards, which changes the cost alone; a piece is taken for a
+    known one as for another of its shard, if hash, length and both ends agree."""
+
+    KNOWN = np.dtype([("key", "u8"), ("head", "u8"), ("tail", "u8"), ("first", "u4"), ("shards", "u4"), ("length", "u2"), ("size", "u2")])
 
     def __init__(self, path: str):
         self.tokenizer, self.merger, self.hasher = load_tokenizer(path), load_merger(path), Hasher()
@@ -199,11 +211,12 @@ class Encoder:
         self.bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, k in vocabulary.items():
             self.bytes[k] = len(token)  # a byte-level token has a character for each byte
+        self.known, self.ids = np.zeros(0, self.KNOWN), np.zeros(0, np.uint32)  # by key; the ids of all
 
     @staticmethod
     @functools.lru_cache(2)
     def of(path: str) -> Encoder:
-        """One for all tasks of a worker; it remembers nothing of the texts."""
+        """One for all tasks of a worker."""
         return Encoder(path)
 
     def direct(self, raw: list[bytes]) -> list[np.ndarray]:
@@ -238,42 +251,77 @@ class Encoder:
             begin = np.searchsorted(starts, np.cumsum([0, *(len(raw[k]) + 1 for k in own)]))  # pieces before each text
             h = self.hasher(buffer, starts, ends)
             h[begin[:-1]] = ~h[begin[:-1]]  # no blank comes before it
+            marks = self.marks(flat, starts, ends)
             place, which = distinct(h)
-            if not self.agree(flat, starts, ends, place[which]):  # by all bits of the hashes
+            if not self.agree(marks, place[which]):  # by all bits of the hashes
                 _, place, which = np.unique(h, return_index=True, return_inverse=True)
-                if not self.agree(flat, starts, ends, place[which]):
+                if not self.agree(marks, place[which]):
                     whole, own = list(range(len(raw))), []
         if own:
             leads = np.zeros(len(starts), bool)
             leads[begin[:-1]] = True
-            order = np.argsort(leads[place], kind="stable")  # those with a blank before them first
-            pieces = [flat[a:b] for a, b in zip(starts[place[order]].tolist(), ends[place[order]].tolist(), strict=True)]
-            n_after = len(pieces) - int(leads[place].sum())
-            found = self.follow(pieces[:n_after])
-            for p in pieces[n_after:]:
-                ids = np.array(self.merger.encode_ordinary(p.decode()), np.uint32)
-                found.append((ids, np.array([len(ids)])))
-            sizes = np.empty(len(place), np.int64)
-            sizes[order] = np.concatenate([n for _, n in found])
-            first = np.empty(len(place), np.int64)
-            first[order] = np.cumsum(sizes[order]) - sizes[order]
-            first, n = first[which], sizes[which]
+            first, n = self.find(flat, starts[place], leads[place], h[place], [m[place] for m in marks])
+            first, n = first[which], n[which]
             before = np.cumsum(n) - n
-            joined = np.concatenate([i for i, _ in found])[np.arange(int(n.sum())) + np.repeat(first - before, n)]
+            joined = self.ids[np.arange(int(n.sum())) + np.repeat(first - before, n)]
             for k, x in zip(own, np.split(joined, before[begin[1:-1]]), strict=True):
                 out[k] = x
         for k, x in zip(whole, self.direct([raw[k] for k in whole]), strict=True):
             out[k] = x
         return out
 
+    def find(self, flat: bytes, starts: np.ndarray, leads: np.ndarray, keys: np.ndarray, marks: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Where in ``ids`` those of each of some distinct pieces begin, and how many it has."""
+        if len(self.known) > REMEMBERED or len(self.ids) > REMEMBERED_IDS:
+            self.forget()
+        length, head, tail = marks
+        at = np.searchsorted(np.ascontiguousarray(self.known["key"]), keys)
+        like = np.take(self.known, at, mode="clip") if len(self.known) else np.zeros(len(keys), self.KNOWN)
+        there = (like["key"] == keys) & (like["length"] == length) & (like["head"] == head) & (like["tail"] == tail)
+        self.known["shards"][at[there]] += 1
+        new = np.flatnonzero(~there)
+        new = new[np.argsort(leads[new], kind="stable")]  # those with a blank before them first
+        pieces = [flat[a:b] for a, b in zip(starts[new].tolist(), (starts[new] + length[new]).tolist(), strict=True)]
+        n_after = len(pieces) - int(leads[new].sum())
+        found = [(self.ids, np.zeros(0, np.int64)), *self.follow(pieces[:n_after])]
+        for p in pieces[n_after:]:
+            ids = np.array(self.merger.encode_ordinary(p.decode()), np.uint32)
+            found.append((ids, np.array([len(ids)])))
+        first, size = like["first"].astype(np.int64), like["size"].astype(np.int64)
+        size[new] = np.concatenate([n for _, n in found])
+        first[new] = np.cumsum(size[new]) - size[new] + len(self.ids)
+        self.ids = np.concatenate([i for i, _ in found])
+        more = np.zeros(len(new), self.KNOWN)
+        for name, x in (("key", keys), ("head", head), ("tail", tail), ("first", first), ("length", length), ("size", size)):
+            more[name] = x[new]
+        more["shards"] = 1
+        more = more[np.argsort(more["key"])]
+        self.known = np.insert(self.known, np.searchsorted(np.ascontiguousarray(self.known["key"]), more["key"]), more)
+        return first, size
+
+    def forget(self) -> None:
+        """Keep the pieces of more than one shard, those of the most shards if they are too many."""
+        keep = np.argsort(-self.known["shards"].astype(np.int64), kind="stable")[: REMEMBERED // 2]
+        keep = keep[(self.known["shards"][keep] > 1) & (np.cumsum(self.known["size"][keep], dtype=np.int64) <= REMEMBERED_IDS // 2)]
+        self.known = self.known[np.sort(keep)]
+        n = self.known["size"].astype(np.int64)
+        first = np.cumsum(n) - n
+        self.ids = self.ids[np.arange(int(n.sum())) + np.repeat(self.known["first"] - first, n)]
+        self.known["first"] = first
+        self.known["shards"] >>= 1
+
     @staticmethod
-    def agree(flat: bytes, starts: np.ndarray, ends: np.ndarray, like: np.ndarray) -> bool:
-        """Whether each piece has the length and the first and last eight bytes of the one it is taken for."""
+    def marks(flat: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Each piece's length and its first and last eight bytes, the last ones of longer pieces alone."""
         eight = np.ndarray(len(flat) + 9, "<u8", bytes(8) + flat + bytes(8), strides=(1,))
         n = ends - starts
         keep = np.array([(1 << 8 * k) - 1 for k in range(8)] + [(1 << 64) - 1], _U64)[np.minimum(n, 8)]
-        head, long = eight[starts + 8] & keep, np.flatnonzero(n > 8)
-        return bool((n == n[like]).all() and (head == head[like]).all() and (eight[ends[long]] == eight[ends[like[long]]]).all())
+        return n, eight[starts + 8] & keep, np.where(n > 8, eight[ends], _U64(0))
+
+    @staticmethod
+    def agree(marks: tuple[np.ndarray, ...], like: np.ndarray) -> bool:
+        """Whether each piece has the marks of the one it is taken for."""
+        return all(bool((m == m[like]).all()) for m in marks)
 
 
 class Weights:
@@ -299,45 +347,73 @@ def counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys[first], np.diff(first, append=len(keys))
 
 
-def scores(row: np.ndarray, h: np.ndarray, n: int, weights: Weights) -> np.ndarray:
-    """(n, n): what BM25 gives each document of a shard for the terms of each, itself 0.
+class Scores:
+    """Rows of the matrix of what BM25 gives each document of a shard for the terms of
+    each, itself 0. Few documents seed a window, so a row is made when it is asked for.
 
     An inverted index from terms to documents; the lists of frequent terms are
-    dense rows, so that their part is a matrix product.
+    dense rows. Copies get equal scores, as each document's are summed in one order.
     """
-    low = _U64((1 << max(1, (n - 1).bit_length())) - 1)
-    keys, tf = counted((h & ~low) | row.astype(_U64))  # the upper bits tell terms apart
-    doc, keys = (keys & low).astype(np.int64), keys & ~low
-    term = np.cumsum(np.concatenate(([False], keys[1:] != keys[:-1]))) if len(keys) else doc
-    weight = weights.of(slot(keys), tf, np.bincount(row, minlength=n)[doc]).astype(np.float32)
-    df = np.bincount(term)
-    keep = (df[term] > 1) & (weight > 0)  # a term of one document finds no neighbour
-    term, doc, weight = term[keep], doc[keep], weight[keep]
-    df = np.bincount(term)
-    heavy = np.flatnonzero(df > DENSE_SHARE * n)
-    heavy = heavy[np.argsort(-df[heavy], kind="stable")[:DENSE_TERMS]]
-    place = np.full(len(df), -1)
-    place[heavy] = np.arange(len(heavy))
-    own = place[term] >= 0
-    dense = np.zeros((len(heavy), n), np.float32)
-    dense[place[term[own]], doc[own]] = weight[own]
-    out = (dense > 0).astype(np.float32).T @ dense
-    term, doc, weight = term[~own], doc[~own], weight[~own]
-    first = np.searchsorted(term, term)  # of its list
-    size = np.searchsorted(term, term, side="right") - first
-    done = np.cumsum(size)
-    flat, at = out.reshape(-1), 0
-    while at < len(term):
-        end = max(at + 1, int(np.searchsorted(done, (done[at - 1] if at else 0) + SCORED, side="right")))
-        s, f = size[at:end], first[at:end]
-        hits = np.arange(int(s.sum())) + np.repeat(f - (np.cumsum(s) - s), s)
-        flat += np.bincount(np.repeat(doc[at:end], s) * n + doc[hits], weight[hits], n * n).astype(np.float32)
-        at = end
-    np.fill_diagonal(out, 0)
-    return out
 
+    dtype = np.dtype(np.float32)
+
+    def __init__(self, row: np.ndarray, h: np.ndarray, n: int, weights: Weights):
+        low = _U64((1 << max(1, (n - 1).bit_length())) - 1)
+        keys, tf = counted((h & ~low) | row.astype(_U64))  # the upper bits tell terms apart
+        doc, keys = (keys & low).astype(np.int64), keys & ~low
+        term = np.cumsum(np.concatenate(([False], keys[1:] != keys[:-1]))) if len(keys) else doc
+        weight = weights.of(slot(keys), tf, np.bincount(row, minlength=n)[doc]).astype(np.float32)
+        df = np.bincount(term)
+        keep = (df[term] > 1) & (weight > 0)  # a term of one document finds no neighbour
+        term, doc, weight = term[keep], doc[keep], weight[keep]
+        df = np.bincount(term)
+        heavy = np.flatnonzero(df > DENSE_SHARE * n)
+        heavy = heavy[np.argsort(-df[heavy], kind="stable")[:DENSE_TERMS]]
+        place = np.full(len(df), -1)
+        place[heavy] = np.arange(len(heavy))
+        place = place[term]
+        own = place >= 0
+        self.n = n
+        self.dense = np.zeros((len(heavy), n), np.float32)
+        self.dense[place[own], doc[own]] = weight[own]
+        self.rows, self.rows_begin = self.by_document(doc[own], place[own])
+        self.held = np.empty((max([0, *np.diff(self.rows_begin)]), n), np.float32)
+        # Of each light term its documents, with their weights.
+        term, self.doc, self.weight = term[~own], doc[~own], weight[~own]
+        df = np.bincount(term)
+        self.first, self.size = np.cumsum(df) - df, df
+        self.terms, self.terms_begin = self.by_document(self.doc, term)
+
+    def by_document(self, doc: np.ndarray, what: np.ndarray) -> tuple[np.ndarray, list[int]]:
+        """``what`` in the order of documents, and where each document's begins."""
+        order = np.argsort(doc.astype(np.min_scalar_type(self.n)), kind="stable")
+        return what[order], np.cumsum([0, *np.bincount(doc, minlength=self.n)]).tolist()
+
+    def __getitem__(self, seed: int) -> np.ndarray:
+        rows = self.rows[self.rows_begin[seed] : self.rows_begin[seed + 1]]
+        out = np.take(self.dense, rows, axis=0, out=self.held[: len(rows)], mode="clip").sum(axis=0) if len(rows) else np.zeros(self.n, np.float32)
+        terms = self.terms[self.terms_begin[seed] : self.terms_begin[seed + 1]]
+        done, at = np.cumsum(self.size[terms]), 0
+        while at < len(terms):
+            before = int(done[at - 1]) if at else 0
+            end = max(at + 1, int(np.searchsorted(done, before + SCORED, side="right")))
+            s, f = self.size[terms[at:end]], self.first[terms[at:end]]
+            hits = np.arange(before, int(done[end - 1])) + np.repeat(f - done[at:end] + s, s)
+            out += np.bincount(self.doc[hits], self.weight[hits], self.n).astype(np.float32)
+            at = end
+        out[seed] = 0
+        return out
+
+    def tolist(self) -> list[list[float]]:
+        return [self[k].tolist() for k in range(self.n)]
+
+
+def scores(row: np.ndarray, h: np.ndarray, n: int, weights: Weights) -> Scores:
+    """(n, n): the scores of a shard's documents, from the row and hash of every word."""
+    return Scores(row, h, n, weights)
 
-def pack_shard(lengths: list[int], near: np.ndarray, window: int = WINDOW) -> list[list[tuple[int, int, int]]]:
+
+def pack_shard(lengths: list[int], near: np.ndarray | Scores, window: int = WINDOW) -> list[list[tuple[int, int, int]]]:
     """Sequences of pieces (document, first id, ids). ``near`` has a row of scores for each
     document; of equal scores the first document is taken, and one of 0 is no neighbour."""
     free = np.ones(len(lengths), near.dtype)
@@ -398,7 +474,8 @@ def powers(pieces: list[tuple[int, int, int]]) -> list[list[tuple[int, int, int]
 
 def corpus_weights(rows: DataFrame) -> tuple[Weights, int, int]:
     """The corpus's weights, its number of documents and its bytes of text, from one
-    narrow pass: a task sends a row for each slot it has met at most."""
+    narrow pass: a task sends its counts in ``BLOCKS`` blocks of slots at most, and one
+    of sums. They are added where a block's counts meet, one array for each block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, df, sums = Hasher(), np.zeros(SLOTS, np.int64), np.zeros(3, np.int64)
@@ -408,15 +485,25 @@ def corpus_weights(rows: DataFrame) -> tuple[Weights, int, int]:
                 row, h = words_of(raw, hasher)
                 df += np.bincount(counted(row * SLOTS + slot(h))[0] % SLOTS, minlength=SLOTS)
                 sums += [len(raw), len(row), sum(map(len, raw))]
-        met = np.flatnonzero(df)
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((met, [-1, -2, -3]))), pa.array(np.concatenate((df[met], sums)))], ["slot", "n"])
-
-    found = rows.select("text").mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    at, n = found["slot"].to_numpy(), found["n"].to_numpy()
-    df = np.zeros(SLOTS, np.int64)
-    df[at[at >= 0]] = n[at >= 0]
-    documents, words, size = (int(n[at == -k].sum()) for k in (1, 2, 3))
-    return Weights(documents, words, df), documents, size
+        met = {k: own for k, own in enumerate([*df.reshape(BLOCKS, -1), sums]) if own.any()}
+        yield blocks(met)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k, own in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                held[k] = held.get(k, 0) + np.frombuffer(own, np.int64)
+        yield blocks(held)
+
+    def blocks(held: dict[int, np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([x.tobytes() for x in held.values()], pa.binary())], ["block", "n"])
+
+    kinds = "block int, n binary"
+    found = rows.select("text").mapInArrow(run, kinds).repartition("block").mapInArrow(add, kinds).toArrow()
+    met = {k: np.frombuffer(n, np.int64) for k, n in zip(found["block"].to_pylist(), found["n"].to_pylist(), strict=True)}
+    none = np.zeros(SLOTS // BLOCKS, np.int64)
+    documents, words, size = map(int, met.get(BLOCKS, np.zeros(3, np.int64)))
+    return Weights(documents, words, np.concatenate([met.get(k, none) for k in range(BLOCKS)])), documents, size
 
 
 @functools.lru_cache(1)

@@ -183,6 +183,37 @@ def test_pieces_that_a_hash_confuses_are_encoded_plainly():
     assert encoder.encode([t.encode()])[0].tolist() == plain.encode(t, add_special_tokens=False).ids
 
 
+def test_pieces_are_encoded_once_for_several_shards(monkeypatch):
+    encoder, plain = packing.Encoder(PATH), packing.load_tokenizer(PATH)
+    rng = random.Random(12)
+    some = ["".join(rng.choice("abcdé.") for _ in range(rng.randrange(1, 30))) for _ in range(400)]
+    asked = []
+    follow = encoder.follow
+    monkeypatch.setattr(encoder, "follow", lambda pieces: asked.extend(pieces) or follow(pieces))
+
+    def shard(words):
+        texts = [" ".join(rng.choice(words) for _ in range(40)) for _ in range(50)]
+        for t, ids in zip(texts, encoder.encode([t.encode() for t in texts]), strict=True):
+            assert ids.tolist() == plain.encode(t, add_special_tokens=False).ids
+
+    for _ in range(4):
+        shard(some)
+    assert len(asked) == len(set(asked)) <= len(some)
+    monkeypatch.setattr(packing, "REMEMBERED", 200)
+    monkeypatch.setattr(packing, "REMEMBERED_IDS", 3000)
+    for k in range(6):  # few are kept, and right
+        shard(some[40 * k : 40 * k + 200])
+        assert len(encoder.known) <= 100 + 2 * 200
+        assert len(encoder.ids) == encoder.known["size"].sum() <= 3000 + 2 * 200 * 60
+
+
+def test_pieces_that_a_hash_confuses_between_shards_are_told_apart():
+    encoder, plain = packing.Encoder(PATH), packing.load_tokenizer(PATH)
+    encoder.hasher = lambda buffer, starts, ends: np.full(len(starts), 5, np.uint64)
+    for t in ("cat", "dog", "catalogues", "cat", "dogmatical", "cat"):
+        assert encoder.encode([t.encode()])[0].tolist() == plain.encode(t, add_special_tokens=False).ids
+
+
 def test_a_vocabulary_that_does_not_follow_its_merges_is_left_to_the_tokenizer(tmp_path):
     import json
 
@@ -261,6 +292,59 @@ def test_equal_scores_take_the_first():
     assert [d for own in packing.pack_shard([4, 4, 4, 4], near, window=8) for d, _, _ in own] == [0, 2, 1, 3]
 
 
+def test_scores_are_made_for_the_seeds_of_windows_alone():
+    rng = np.random.default_rng(4)
+    raw = [b" ".join(b"w%d" % x for x in rng.integers(0, 60, 20)) for _ in range(80)]
+    row, h, weights = weights_of(raw)
+    asked = []
+
+    class Asked(packing.Scores):
+        def __getitem__(self, seed):
+            asked.append(seed)
+            return super().__getitem__(seed)
+
+    sequences = packing.pack_shard([20] * 80, Asked(row, h, 80, weights), window=200)
+    assert [len(own) for own in sequences] == [10] * 8 and len(asked) <= 9
+    whole = packing.scores(row, h, 80, weights).tolist()
+    assert sequences == packing.pack_shard([20] * 80, np.array(whole, np.float32), window=200)
+
+
+def test_copies_get_equal_scores():
+    rng = np.random.default_rng(5)
+    raw = [b" ".join(b"w%d" % x for x in rng.integers(0, 90, 30)) for _ in range(50)] * 2
+    row, h, weights = weights_of(raw)
+    near = packing.scores(row, h, 100, weights)
+    for seed in range(50):
+        own = near[seed]
+        assert own[seed] == 0 and own[50 + seed] == own.max() > 0
+        others = np.delete(np.arange(50), seed)
+        assert (own[others] == own[50 + others]).all()
+
+
+def test_words_are_cut_without_looking_ahead():
+    merger = packing.load_merger(PATH)
+    assert "(?!" not in merger._pat_str
+    rng = random.Random(9)
+    for _ in range(200):
+        own = "".join(rng.choice("abX09'éß漢\u0301\x7f.,-\n ") for _ in range(80))
+        own = re.sub(r"\s+", lambda m: m[0][0], own).strip()
+        assert not packing.irregular([own.encode()])[0]
+        assert merger.encode_ordinary(own) == packing.load_tokenizer(PATH).encode(own, add_special_tokens=False).ids
+
+
+def test_weights_are_those_of_all_rows(frame):
+    from pyspark.sql import functions as F
+
+    rows = [*packed_rows(), (900, ""), (901, None)]
+    raw = [(t or "").encode() for _, t in rows]
+    for some in (rows, []):
+        df = frame(some).repartition(5).select(F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+        weights, documents, size = packing.corpus_weights(df)
+        want = weights_of(raw)[2] if some else packing.Weights(0, 0, np.zeros(packing.SLOTS))
+        assert (documents, size) == ((len(raw), sum(map(len, raw))) if some else (0, 0))
+        assert weights.mean == want.mean and (weights.idf == want.idf).all()
+
+
 def topic_rows():
     """Groups of texts on a topic, whose rows lie far apart, and words that all share."""
     rng = random.Random(3)
