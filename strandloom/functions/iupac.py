@@ -67,6 +67,17 @@ def join_ids(ids: Column) -> Column:
     return F.array_join(F.array_sort(ids), "|")
 
 
+def short(ids: Column | str) -> Column:
+    """A key for an id set: itself, or for a long one its beginning, hash and length.
+
+    Sets are as long as groups, and rows as many; keys are what rows can be moved
+    and grouped by. A key of the second kind begins with ``|``, which no set does.
+    """
+    c = col(ids)
+    key = F.concat_ws("|", F.lit(""), F.substring(c, 1, 24), F.hex(F.xxhash64(c)), F.octet_length(c).cast("string"))
+    return F.when(F.octet_length(c) <= 64, c).when(c.isNotNull(), key)
+
+
 def primer_pattern(primer: Column | str) -> Column:
     """A primer as a regular expression: each code becomes its class of bases."""
     out = col(primer)

@@ -205,7 +205,8 @@ B_WHERE = "doc_id % 3 <> 0"
 
 def two_regions(spark: SparkSession, sf_dir: str) -> tuple[list[DataFrame], list[DataFrame], list[DataFrame]]:
     """Kmer maps, alignments and feature tables of both regions."""
-    whole = {"A": sequences(spark, sf_dir, 10), "B": sequences(spark, sf_dir, 10, where=B_WHERE)}
+    # Both are read many times below.
+    whole = {"A": settle(sequences(spark, sf_dir, 10)), "B": settle(sequences(spark, sf_dir, 10, where=B_WHERE))}
     docs = read(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.lpad(F.col("doc_id").cast("string"), 7, "0")).alias("id"), (F.col("doc_id") % 4).alias("k"), F.length(F.coalesce("text", F.lit(""))).cast("double").alias("n"))
     maps, alignments, tables = [], [], []
     for region, length in (("A", 5), ("B", -5)):
@@ -238,6 +239,12 @@ rest AS (SELECT ed.i AS db_seq, string_agg(ed.j, '|' ORDER BY ed.j) AS clean_nam
 nm AS (SELECT * FROM solved UNION ALL SELECT * FROM rest)"""
 
 
+def aligned_kmers(maps: list[DataFrame], alignments: list[DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """Rows of the maps whose sequences are aligned, and the members of all kmers."""
+    maps = database.numbered_maps(maps, database.region_order(REGIONS))
+    return database.union_maps(maps, database.kmer_members(alignments).select("db_seq").distinct()), database.kmer_members(maps, "region")
+
+
 def names_and_summary(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     maps, alignments, _ = two_regions(spark, sf_dir)
     return database.reconstruct_database(REGIONS, alignments, maps)
@@ -274,18 +281,14 @@ def rounded(summary: DataFrame) -> DataFrame:
 @query(f"WITH {BASE} SELECT i AS db_seq, j AS shared FROM st")
 def shared_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     maps, alignments, _ = two_regions(spark, sf_dir)
-    order = database.region_order(REGIONS)
-    kmers = database.union_maps(maps, order, database.aligned_ids(database.union_alignments(alignments, order)))
-    owners, sets = database.shared_sets(kmers)
+    owners, sets = database.shared_sets(*aligned_kmers(maps, alignments))
     return owners.join(sets, "sig").select("db_seq", F.col("j").alias("shared"))
 
 
 @query(f"WITH {BASE} SELECT db_seq, clean_name FROM solved")
 def tidy_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     maps, alignments, _ = two_regions(spark, sf_dir)
-    order = database.region_order(REGIONS)
-    kmers = database.union_maps(maps, order, database.aligned_ids(database.union_alignments(alignments, order)))
-    return database.tidy_names(*map(settle, database.shared_sets(kmers)))
+    return database.tidy_names(*map(settle, database.shared_sets(*aligned_kmers(maps, alignments))))
 
 
 @query("""WITH e AS (SELECT DISTINCT CAST(l_partkey AS VARCHAR) AS i, CAST(l_suppkey AS VARCHAR) AS j FROM lineitem),
