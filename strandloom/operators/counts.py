@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -11,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.functions import iupac
+from strandloom.operators.database import kmer_members
+from strandloom.sources.tables import with_row_id
 from strandloom.store import settle
 
 EPS = 2.220446049250313e-16
@@ -27,10 +30,16 @@ def require_known(rows: DataFrame, known: DataFrame, key: str, what: str) -> Non
 
 def alignment_matrix(alignment: DataFrame, names: DataFrame, summary: DataFrame, error: float = 0.005, check: bool = True) -> DataFrame:
     """One row for each (clean_name, asv, region, max_mismatch), with the error model."""
-    rows = alignment.withColumn("i", F.explode(iupac.split_ids("kmer"))).withColumn("db_seq", iupac.db_seq("i"))
+    members = settle(kmer_members([alignment]))
+    known = settle(names.select("db_seq", iupac.short("clean_name").alias("name")))
     if check:
-        require_known(rows, names, "db_seq", "the database map")
-    best = rows.join(names.select("db_seq", "clean_name"), "db_seq").groupBy("clean_name", "asv", "region", "max_mismatch").agg(F.min("mismatch").alias("mismatch"), F.min("length").alias("length"))
+        require_known(members, known, "db_seq", "the database map")
+    # The names of each kmer, with keys for both until they are distinct.
+    labels = names.select(iupac.short("clean_name").alias("name"), "clean_name").distinct()
+    regions = summary.select(iupac.short("feature_id").alias("name"), "num_regions")
+    named = members.join(known, "db_seq").select("key", "name").distinct().join(labels, "name").join(regions, "name", "left").drop("name")
+    rows = alignment.select(iupac.short("kmer").alias("key"), "asv", "region", "max_mismatch", "mismatch", "length")
+    best = rows.join(settle(named), "key").groupBy("clean_name", "asv", "region", "max_mismatch").agg(F.min("mismatch").alias("mismatch"), F.min("length").alias("length"), F.max("num_regions").alias("num_regions"))
     right, wrong = F.lit(1.0 - error), F.lit(error / 3)
 
     def chance(misses):
@@ -39,8 +48,7 @@ def alignment_matrix(alignment: DataFrame, names: DataFrame, summary: DataFrame,
     out = best.withColumns({"match_prob": chance(F.col("mismatch")), "perfect_prob": F.pow(right, "length"), "max_error_prob": chance(F.col("max_mismatch"))})
     out = out.withColumn("error_thresh", F.col("perfect_prob") - 0.1 * F.col("max_error_prob") - EPS)
     out = out.withColumn("perf_match", F.col("match_prob") > F.col("error_thresh"))
-    regions = summary.select(F.col("feature_id").alias("clean_name"), "num_regions")
-    return out.join(regions, "clean_name", "left").withColumn("norm", F.col("match_prob") / F.col("num_regions")).drop("num_regions")
+    return out.withColumn("norm", F.col("match_prob") / F.col("num_regions")).drop("num_regions")
 
 
 def pivot_mean(matrix: DataFrame) -> DataFrame:
@@ -101,24 +109,55 @@ def solve_em(row: np.ndarray, column: np.ndarray, a: np.ndarray, y: np.ndarray,
     return f / f.sum()
 
 
-def solve_samples(shares: DataFrame, matrix: DataFrame, min_abund: float = 1e-5) -> DataFrame:
-    """(sample_id, clean_name, f): one grouped task for each sample; rows are
-    sorted first, so sums don't depend on the order of arrival."""
+class Packed(NamedTuple):
+    """A matrix with numbers for names: (clean_name, n) in order, and (asv, n, a) with
+    one row for each read, its names and chances as arrays."""
+
+    names: DataFrame
+    rows: DataFrame
+
+
+def pack(matrix: DataFrame) -> Packed:
+    """The matrix as it goes to each sample, a few bytes for each entry."""
+    names = settle(with_row_id(matrix.select("clean_name").distinct(), ["clean_name"]).select("clean_name", F.col("id").cast("int").alias("n")))
+    entries = matrix.join(names, "clean_name").groupBy("asv").agg(F.array_sort(F.collect_list(F.struct("n", "a"))).alias("x"))
+    return Packed(names, settle(entries.select("asv", "x.n", "x.a")))
+
+
+def entries(rows: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray, np.ndarray, np.ndarray]:
+    """One sample's rows in order, and the entries' rows, names and chances."""
+    rows = rows.sort_values("asv", kind="stable")
+    row = np.repeat(np.arange(len(rows)), rows["n"].map(len).to_numpy(int))
+    return rows, row, np.concatenate([*rows["n"]]), np.concatenate([*rows["a"]])
+
+
+def solve_packed(shares: DataFrame, matrix: Packed, min_abund: float) -> DataFrame:
+    """``solve_samples`` with a packed matrix."""
 
     def solve(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["asv", "clean_name"], kind="stable")
-        row, asvs = pd.factorize(rows["asv"], sort=True)
-        column, names = pd.factorize(rows["clean_name"], sort=True)
-        y = np.zeros(len(asvs))
-        y[row] = rows["y"].to_numpy()
+        rows, row, column, a = entries(rows)
+        y = rows["y"].to_numpy()
+        del rows
+        if not (a > 0).all():
+            row, column, a = row[a > 0], column[a > 0], a[a > 0]
+        used = np.bincount(column) > 0
+        met, column = np.flatnonzero(used), (np.cumsum(used) - 1)[column]
         try:
-            f = solve_em(row, column, rows["a"].to_numpy(), y, min_abund)
+            f = solve_em(row, column, a, y, min_abund)
         except ValueError as why:
             raise ValueError(f"sample {key[0]}: {why}") from None
-        return pd.DataFrame({"sample_id": key[0], "clean_name": names, "f": f})
+        return pd.DataFrame({"sample_id": key[0], "n": met, "f": f})
+
+    usable = matrix.rows.where(F.exists("a", lambda x: x > 0))
+    rows = shares.where("y > 0").select("sample_id", F.col("feature_id").alias("asv"), "y").join(usable, "asv")
+    found = rows.groupBy("sample_id").applyInPandas(solve, "sample_id string, n int, f double").where("f > 0")
+    return found.join(matrix.names, "n").select("sample_id", "clean_name", "f")
 
-    rows = shares.where("y > 0").select("sample_id", F.col("feature_id").alias("asv"), "y").join(matrix.where("a > 0"), "asv")
-    return rows.groupBy("sample_id").applyInPandas(solve, "sample_id string, clean_name string, f double").where("f > 0")
+
+def solve_samples(shares: DataFrame, matrix: DataFrame, min_abund: float = 1e-5) -> DataFrame:
+    """(sample_id, clean_name, f): one grouped task for each sample; rows are
+    sorted first, so sums don't depend on the order of arrival."""
+    return solve_packed(shares, pack(matrix), min_abund)
 
 
 def per_region(solved: DataFrame, summary: DataFrame) -> DataFrame:
@@ -130,11 +169,30 @@ def per_region(solved: DataFrame, summary: DataFrame) -> DataFrame:
 
 def scale_counts(table: DataFrame, shares: DataFrame, matrix: DataFrame, summary: DataFrame, region_normalize: str = "average", total_regions: int = 1) -> DataFrame:
     """(feature_id, sample_id, count): each read's counts dealt over its sequences, rounded half to even."""
-    rows = table.where("count > 0").select("sample_id", F.col("feature_id").alias("asv"), "count").join(matrix, "asv").join(shares.where("f > 0"), ["sample_id", "clean_name"])
-    rows = rows.withColumn("p", F.col("f") * F.col("a"))
-    sums = rows.groupBy("sample_id", "asv").agg(F.sum("p").alias("row_sum"))
-    dealt = rows.join(sums, ["sample_id", "asv"]).withColumn("v", F.col("count") * F.col("p") / (F.col("row_sum") + EPS))
-    totals = dealt.groupBy("clean_name", "sample_id").agg(F.sum("v").alias("v"))
+    return scale_packed(table, shares, pack(matrix), summary, region_normalize, total_regions)
+
+
+def scale_packed(table: DataFrame, shares: DataFrame, matrix: Packed, summary: DataFrame, region_normalize: str, total_regions: int) -> DataFrame:
+    """``scale_counts`` with a packed matrix; one task for each sample, as in the solution."""
+
+    def deal(key: tuple, rows: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        if not len(rows) or not len(known):
+            return pd.DataFrame({"sample_id": [], "n": [], "v": []})
+        rows, row, column, a = entries(rows)
+        known = known.sort_values("n")
+        met, at = known["n"].to_numpy(), np.searchsorted(known["n"].to_numpy(), column).clip(max=len(known) - 1)
+        on = met[at] == column
+        row, at, a = row[on], at[on], a[on]
+        p = known["f"].to_numpy()[at] * a
+        sums = np.bincount(row, p, len(rows))
+        v = np.bincount(at, rows["count"].to_numpy()[row] * p / (sums[row] + EPS), len(known))
+        dealt = np.bincount(at, minlength=len(known)) > 0
+        return pd.DataFrame({"sample_id": key[0], "n": met[dealt], "v": v[dealt]})
+
+    rows = table.where("count > 0").select("sample_id", F.col("feature_id").alias("asv"), F.col("count").cast("double").alias("count")).join(matrix.rows, "asv")
+    known = shares.where("f > 0").join(matrix.names, "clean_name").select("sample_id", "n", "f")
+    dealt = rows.groupBy("sample_id").cogroup(known.groupBy("sample_id")).applyInPandas(deal, "sample_id string, n int, v double")
+    totals = dealt.join(matrix.names, "n").select("clean_name", "sample_id", "v")
     regions = summary.select(F.col("feature_id").alias("clean_name"), "num_regions")
     factor = {"average": 1 / F.col("num_regions"), "weighted": F.lit(float(total_regions)) / F.col("num_regions")}.get(region_normalize, F.lit(1.0))
     value = F.col("v") / F.col("num_regions") if region_normalize == "average" else F.col("v") * factor
@@ -169,7 +227,8 @@ def reconstruct_counts(
     kept = table.join(alignment.select(F.col("asv").alias("feature_id")), "feature_id", "left_semi")
     check_depth(table, kept, min_counts)
     shares = normalise_samples(kept.where("count > 0"))
-    solved = settle(per_region(settle(solve_samples(shares, matrix, min_abund)), summary))
-    return scale_counts(kept, solved, matrix, summary, region_normalize, len(set(region)))
+    packed = pack(matrix)
+    solved = settle(per_region(settle(solve_packed(shares, packed, min_abund)), summary))
+    return scale_packed(kept, solved, packed, summary, region_normalize, len(set(region)))
 
 

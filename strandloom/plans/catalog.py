@@ -346,7 +346,9 @@ def scale_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     alignment, names, summary, tables = matrix_inputs(spark, sf_dir)
     matrix = settle(counts.pivot_mean(counts.alignment_matrix(alignment, names, summary)))
     kept = counts.union_tables(tables).where("count > 0").join(alignment.select(F.col("asv").alias("feature_id")), "feature_id", "left_semi")
-    met = kept.select("sample_id", F.col("feature_id").alias("asv")).join(matrix, "asv").select("sample_id", "clean_name").distinct().withColumn("one", F.lit(1.0))
+    # Reads of the same samples are many, so names meet their lists of samples.
+    lists = kept.groupBy(F.col("feature_id").alias("asv")).agg(F.array_sort(F.collect_set("sample_id")).alias("samples"))
+    met = matrix.join(lists, "asv").select("clean_name", "samples").distinct().select(F.explode("samples").alias("sample_id"), "clean_name").distinct().withColumn("one", F.lit(1.0))
     shares = counts.normalise_samples(met, "one", "f").drop("one")
     return counts.scale_counts(kept, shares, matrix, summary, "weighted", 2)
 
