@@ -73,7 +73,8 @@ def write_table(table: DataFrame, path: str, single_file: bool = False) -> None:
     """A table as TSV under the file's column names.
 
     A summary is one file always, whose first row tells the columns' types, as its
-    readers want; its rows are in order of their ids.
+    readers want; its rows are in order of their ids. The files of a kmer map are
+    gzipped: each row names all sequences of its kmer, as the rows next to it do.
     """
     names = [schemas.file_name(c) for c in table.columns]
     if set(table.columns) == set(schemas.SUMMARY.names):
@@ -83,7 +84,8 @@ def write_table(table: DataFrame, path: str, single_file: bool = False) -> None:
         return one_file(head.union(table.select(F.lit(2), table.columns[0], F.concat_ws("\t", *cells))), ["part", "k"], path)
     named = table.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(table.columns, names, strict=True)))
     named = named.coalesce(1) if single_file else named
-    return named.write.mode("overwrite").option("sep", "\t").option("header", True).csv(path)
+    packed = "gzip" if set(table.columns) == set(schemas.KMER_MAP.names) else "none"
+    return named.write.mode("overwrite").option("sep", "\t").option("header", True).option("compression", packed).csv(path)
 
 
 def with_row_id(table: DataFrame, order: list[str]) -> DataFrame:

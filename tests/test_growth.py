@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strandloom import schemas
+from strandloom import schemas, sources
 from strandloom.operators import align, counts, database, extract
 from strandloom.store import settle
 
@@ -63,6 +63,16 @@ def test_shared_sets_of_lists_of_many_kmers(spark, choices, monkeypatch):
     assert {i: sorted(js) for i, js in found.items()} == {i: set_of(i, own, own) for i in own}
 
 
+def test_kmer_map_is_packed_in_files(spark, tmp_path):
+    maps, _ = two_regions(spark, 3000)
+    path = tmp_path / "map"
+    sources.write_table(maps[0], str(path))
+    assert sum(p.stat().st_size for p in path.iterdir()) < 1e6  # each row names a thousand sequences
+    back = sources.read_table(spark, str(path), "kmer-map", validate=True)
+    assert back.exceptAll(maps[0]).isEmpty()
+    assert back.count() == 3000
+
+
 def groups(spark):
     """A database map of 30 groups of 100 sequences, and its groups' names."""
     ids = [hashlib.md5(str(k).encode()).hexdigest() for k in range(3000)]
