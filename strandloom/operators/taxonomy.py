@@ -7,6 +7,8 @@ import warnings
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandloom.functions import iupac
+
 from .counts import require_known
 
 # The delimiters of the databases.
@@ -79,15 +81,17 @@ def reconstruct_taxonomy(reconstruction_map: DataFrame, taxonomy: DataFrame, dat
     delimiter = DELIMITERS[database]
     known = taxonomy.select(F.col("feature_id").alias("db_seq"), "taxon")
     require_known(reconstruction_map, known, "db_seq", "the taxonomy")
-    rows = reconstruction_map.select("db_seq", "clean_name").join(known, "db_seq").select("clean_name", split_levels(F.col("taxon"), delimiter).alias("levels"))
+    # A name is as long as its group, so rows have its short form.
+    labels = reconstruction_map.select(iupac.short("clean_name").alias("name"), F.col("clean_name").alias("feature_id")).distinct()
+    rows = reconstruction_map.select("db_seq", iupac.short("clean_name").alias("name")).join(known, "db_seq").select("name", split_levels(F.col("taxon"), delimiter).alias("levels"))
     low, high = rows.agg(F.min(F.size("levels")), F.max(F.size("levels"))).first()
     if high == 1:
         # Fixed text.
         raise ValueError("Only one taxonomic level was found. Please check your database and delimiter.")
     if low != high:
         raise ValueError(f"The taxonomy has between {low} and {high} levels; all must have the same number.")
-    rows = rows.select("clean_name", F.posexplode(cleaned(F.col("levels"), database, define_missing, ambiguity_handling)).alias("k", "level"))
+    rows = rows.select("name", F.posexplode(cleaned(F.col("levels"), database, define_missing, ambiguity_handling)).alias("k", "level"))
     level = F.array_join(F.array_sort(F.collect_set("level")), "|")
-    merged = rows.groupBy("clean_name", "k").agg(F.when(F.count("level") > 0, level).alias("level"))
-    whole = merged.groupBy("clean_name").agg(F.array_sort(F.collect_list(F.struct("k", "level"))).alias("x"))
-    return whole.select(F.col("clean_name").alias("feature_id"), F.array_join(settled(F.col("x.level")), delimiter).alias("taxon"))
+    merged = rows.groupBy("name", "k").agg(F.when(F.count("level") > 0, level).alias("level"))
+    whole = merged.groupBy("name").agg(F.array_sort(F.collect_list(F.struct("k", "level"))).alias("x"))
+    return whole.join(labels, "name").select("feature_id", F.array_join(settled(F.col("x.level")), delimiter).alias("taxon"))

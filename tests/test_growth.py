@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandloom import schemas, sources
-from strandloom.operators import align, counts, database, extract
+from strandloom.operators import align, counts, database, extract, taxonomy
 from strandloom.store import settle
 
 KMERS, REGIONS = ["ACGTA", "CCGTA", "GGGTT"], ["A", "B"]
@@ -99,6 +99,15 @@ def test_alignment_matrix_moves_no_name_with_each_sequence(spark, no_broadcast):
     assert moved(spark) - before < 3e6
 
 
+def test_taxonomy_moves_no_name_with_each_row(spark, no_broadcast):
+    known, names = groups(spark)
+    taxa = settle(known.select(F.col("db_seq").alias("feature_id"), F.lit("k__x;p__y").alias("taxon")))
+    before = moved(spark)
+    found = taxonomy.reconstruct_taxonomy(known, taxa, "silva").collect()
+    assert sorted(map(tuple, found)) == [(n, "k__x;p__y") for n in sorted(names)]
+    assert moved(spark) - before < 2e6
+
+
 def test_samples_move_few_bytes_for_each_entry(spark, no_broadcast):
     rng = np.random.default_rng(7)
     names, samples = [hashlib.md5(bytes([k % 256, k // 256])).hexdigest() for k in range(500)], [f"sample{k}" for k in range(8)]
